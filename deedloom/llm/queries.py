@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deedloom.llm import bpe, canon, lookalike, pieces
+from deedloom.llm import bpe, canon, lookalike, pieces, scanned, survivor
 from deedloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,13 @@ def p7_pieces(spark, d):
 @query("p8_ids")
 def p8_ids(spark, d):
     return bpe.encode(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+@query("p4_found")
+def p4_found(spark, d):
+    return survivor.survivors(table(spark, d, "defined_terms"), table(spark, d, "extraction_models"))
+
+
+@query("p2_found")
+def p2_found(spark, d):
+    return scanned.repairs(table(spark, d, "chunks", "filename", "chunk_id", "text", "headings"))
