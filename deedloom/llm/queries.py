@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deedloom.llm import bpe, canon, lookalike, pieces, scanned, survivor
+from deedloom.llm import bpe, canon, leaks, lookalike, pieces, scanned, stuffing, survivor
 from deedloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,29 @@ def p4_found(spark, d):
 @query("p2_found")
 def p2_found(spark, d):
     return scanned.repairs(table(spark, d, "chunks", "filename", "chunk_id", "text", "headings"))
+
+
+def _documents(spark, d):
+    return table(spark, d, "documents", "doc_id", "text")
+
+
+@query("p9_found")
+def p9_found(spark, d):
+    found = leaks.leaks(_documents(spark, d), table(spark, d, "eval_items"), "doc_id", "text")
+    return found.select("doc_id", "item_id").distinct()
+
+
+@query("p9_paraphrases")
+def p9_paraphrases(spark, d):
+    found = leaks.leaks(_documents(spark, d), table(spark, d, "eval_items"), "doc_id", "text", paraphrases=True)
+    return found.where("lcs is not null").distinct()
+
+
+@query("p10_found")
+def p10_found(spark, d):
+    return stuffing.stuffed(_documents(spark, d), "doc_id", "text")
+
+
+@query("p10_scores")
+def p10_scores(spark, d):
+    return stuffing.scores(_documents(spark, d), "doc_id", "text")

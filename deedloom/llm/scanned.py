@@ -23,7 +23,7 @@ MISREADINGS = (
     ("i", "l"), ("i", "1"), ("l", "1"), ("l", "i"), ("c", "e"), ("e", "c"), ("o", "0"), ("t", "f"), ("f", "t"), ("s", "5"),
     ("g", "9"), ("b", "6"), ("h", "b"), ("b", "h"), ("y", "v"), ("v", "y"), ("u", "ii"), ("n", "ri"), ("m", "rn"), ("rn", "m"),
     ("d", "cl"), ("cl", "d"), ("li", "h"), ("h", "li"), ("w", "vv"), ("n", "u"), ("u", "n"), ("z", "2"), ("b", "8"), ("q", "9"),
-    ("a", "o"), ("o", "c"), ("m", "nn"), ("ri", "n"), ("ii", "u"), ("l", "t"), ("t", "l"), ("j", "i"), ("h", "n"), ("r", "i"),
+    ("a", "o"), ("o", "c"), ("m", "nn"), ("nn", "rm"), ("q", "g"), ("ri", "n"), ("ii", "u"), ("l", "t"), ("t", "l"), ("j", "i"), ("h", "n"), ("r", "i"),
 )
 HYPHENS = "-­¬‐‑"
 
