@@ -103,9 +103,7 @@ def empty_input_guard(spark, d):
 
 @query("no_chunks_guard", sql.NO_CHUNKS)
 def no_chunks_guard(spark, d):
-    docs = table(spark, d, "obligations", F.col("filename").alias("doc_id")).distinct()
-    chunks = table(spark, d, "chunks", F.col("filename").alias("doc_id"), "deleted_at").where("deleted_at is null")
-    return files.without_chunks(docs, chunks.select("doc_id"))
+    return files.without_chunks(table(spark, d, "documents", "doc_id"), structure.paragraph_chunks(derived.document_lines(spark, d)))
 
 
 @query("provenance_geometry", sql.GEOMETRY)
@@ -491,7 +489,7 @@ def contract_representation(spark, d):
 # --- nested records and orphan references -------------------------------------------------------------------------
 
 
-@query("p5_found")
+@query("p5_found", sql.P5_FOUND)
 def p5_found(spark, d):
     return nested.provenance_entries(table(spark, d, "raw_chunks", "raw_id", "payload"), "raw_id", "payload")
 

@@ -69,8 +69,7 @@ PAYLOAD_GUARD = """SELECT raw_id, try_cast(json_extract_string(payload, '$.chunk
   WHERE json_valid(payload) AND json_type(payload) = 'OBJECT' AND json_extract_string(payload, '$.text') IS NOT NULL"""
 SUFFIX_FILTER = """SELECT DISTINCT filename, '.pdf' AS suffix FROM chunks WHERE lower(filename) LIKE '_%.pdf'"""
 EMPTY_GUARD = """SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'The uploaded file is empty.' END AS error FROM documents"""
-NO_CHUNKS = """SELECT DISTINCT filename AS doc_id, 'The document produced no chunks.' AS error FROM obligations
-  WHERE filename NOT IN (SELECT filename FROM chunks WHERE deleted_at IS NULL)"""
+NO_CHUNKS = """SELECT doc_id, 'The document produced no chunks.' AS error FROM documents WHERE text IS NULL"""
 GEOMETRY = """SELECT dense_id, CAST(i - 1 AS INT) AS nth, g.ref, g.page_no, g.bbox[1] AS x0, g.bbox[2] AS y0, g.bbox[3] AS x1,
   g.bbox[4] AS y1, g.page_width, g.page_height FROM (
   SELECT dense_id, unnest(item_geometry) AS g, generate_subscripts(item_geometry, 1) AS i
@@ -401,3 +400,29 @@ o AS (SELECT ref_id, k.field, k.key AS missing_key, k.loaded_at,
 P6_FOUND = f"WITH {CTE_ORPHANS} SELECT ref_id, field, missing_key, status FROM o WHERE status IS NOT NULL"
 P6_COUNTS = f"""WITH {CTE_ORPHANS} SELECT field, strftime(loaded_at, '%Y-%m') AS month, status, count(*) AS n FROM o
   WHERE status IS NOT NULL GROUP BY ALL"""
+
+
+def _members(x: str) -> str:
+    """Positions and members of a JSON list or of an object keyed by positions, as two lists to unnest."""
+    keys = f"CASE json_type({x}) WHEN 'OBJECT' THEN json_keys({x}) WHEN 'ARRAY' THEN list_transform(range(CAST(json_array_length({x}) AS BIGINT)), lambda k: k::VARCHAR) ELSE [] END"
+    return f"unnest({keys}) AS pos"
+
+
+P5_FOUND = f"""WITH RECURSIVE readable AS (
+  SELECT raw_id, CAST(payload AS JSON) AS j FROM raw_chunks WHERE json_valid(payload)),
+meta AS (
+  SELECT raw_id, CASE json_type(j, '$.metadata') WHEN 'VARCHAR' THEN CAST(json_extract_string(j, '$.metadata') AS JSON)
+         ELSE json_extract(j, '$.metadata') END AS m FROM readable WHERE json_type(j) = 'OBJECT'),
+tops AS (SELECT raw_id, json_extract(m, '$.doc_items') AS list FROM meta WHERE json_type(m) = 'OBJECT'),
+items(raw_id, path, item) AS (
+  SELECT raw_id, pos, json_extract(list, '$."' || pos || '"') FROM (SELECT raw_id, list, {_members("list")} FROM tops WHERE json_type(list) = 'OBJECT')
+  UNION ALL
+  SELECT raw_id, pos, json_extract(list, '$[' || pos || ']') FROM (SELECT raw_id, list, {_members("list")} FROM tops WHERE json_type(list) = 'ARRAY')
+  UNION ALL
+  SELECT raw_id, path || '/' || pos, json_extract(kids, '$[' || pos || ']') FROM (
+    SELECT raw_id, path, kids, {_members("kids")} FROM (
+      SELECT raw_id, path, json_extract(item, '$.children') AS kids FROM items) WHERE json_type(kids) = 'ARRAY'))
+SELECT raw_id, path AS item_path, unnest(CASE json_type(item, '$.prov') WHEN 'OBJECT' THEN [0]
+  WHEN 'ARRAY' THEN CASE WHEN json_array_length(item, '$.prov') = 0 THEN [-1]
+                         ELSE list_transform(range(CAST(json_array_length(item, '$.prov') AS BIGINT)), lambda k: k::INT) END
+  ELSE [-1] END) AS prov_no FROM items WHERE json_type(item) = 'OBJECT'"""
