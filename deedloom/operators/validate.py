@@ -67,6 +67,8 @@ def check(kind: str, candidates: DataFrame, chunks: DataFrame, mode: str = "comp
     Chunk texts are folded once per chunk, before the join. A candidate whose chunk doesn't exist is rejected as
     unsupported. Repeated candidates are kept apart by their ``item_index``.
     """
+    if kind not in FIELDS:
+        raise ValueError(f"unknown class {kind!r}")
     folded = chunks.select("doc_id", "chunk_id", F.col("text").alias("_raw"), evidence(F.col("text")).alias("_chunk"))
     rows = candidates.withColumn("_src", evidence(F.col("source_text"))).join(folded, ["doc_id", "chunk_id"], "left")
     raw, chunk, src = F.col("_raw"), F.col("_chunk"), F.col("_src")
@@ -86,11 +88,9 @@ def check(kind: str, candidates: DataFrame, chunks: DataFrame, mode: str = "comp
     elif kind in ("obligation", "right"):
         nobody, nothing = (NO_OBLIGED, NO_DUTY) if kind == "obligation" else (NO_HOLDER, NO_RIGHT)
         reason = _first((is_blank(F.col("party")), nobody), (is_blank(F.col("action")), nothing), (~grounded, UNSUPPORTED))
-    elif kind == "reference":
+    else:
         target = evidence(F.col("target"))
         reason = _first((~grounded, UNSUPPORTED), (~mentions(F.col("source_text"), F.col("target"), src, target), NO_TARGET))
-    else:
-        raise ValueError(f"unknown class {kind!r}")
     out = rows.withColumn("_bad", reason).withColumn("_fix", F.col("_bad").isNull() & repaired)
     return out.select(
         *candidates.columns,

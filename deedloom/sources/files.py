@@ -36,7 +36,10 @@ PROVENANCE_ARTEFACT = (
 
 
 def files(spark: SparkSession, folder: str, media_type: str | None = None) -> DataFrame:
-    """(doc_id, filename, suffix, content): every file below ``folder``; with ``media_type`` only its suffixes."""
+    """(doc_id, filename, suffix, content): every file below ``folder``; with ``media_type`` only its suffixes.
+
+    Files of no length are left out by the scan itself; empty uploads from elsewhere are what ``guard_empty`` reports.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.coalesce(F.nullif(F.element_at(F.split("path", "/"), -1), F.lit("")), F.lit(DEFAULT_NAME))
     out = df.select(
