@@ -18,7 +18,8 @@ def first_load(df: DataFrame, *key: str) -> DataFrame:
     The aggregation combines on the map side, which keeps hot keys cheap. Null keys form a group of their own.
     """
     rest = [c for c in df.columns if c not in (*key, "loaded_at")]
-    picked = F.min_by(F.struct(*rest), "loaded_at") if rest else None
+    earliest = F.struct(F.col("loaded_at").isNull(), "loaded_at")  # a null time is late, not nothing
+    picked = F.min_by(F.struct(*rest), earliest) if rest else None
     out = df.groupBy(*key).agg(
         *([picked.alias("_row")] if rest else []), F.min("loaded_at").alias("loaded_at")
     )

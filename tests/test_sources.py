@@ -98,9 +98,9 @@ def test_provenance_artefact(spark, tmp_path):
 
 
 def test_first_load(spark):
-    rows = [(1, "a", 5), (1, "a", 3), (2, None, 1), (None, "z", 2)]
+    rows = [(1, "a", 5), (1, "a", 3), (2, None, 1), (None, "z", 2), (4, "n", None)]
     df = spark.createDataFrame(rows, "k int, v string, loaded_at int")
-    assert {tuple(r) for r in first_load(df, "k").collect()} == {(1, "a", 3), (2, None, 1), (None, "z", 2)}
+    assert {tuple(r) for r in first_load(df, "k").collect()} == {(1, "a", 3), (2, None, 1), (None, "z", 2), (4, "n", None)}
 
 
 def test_settings(monkeypatch, spark):
