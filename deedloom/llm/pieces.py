@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2_400, 200
+#: Strength from which a boundary ends a sentence or more.
+SENTENCE = 4
 
 # Boundaries from strong to weak; a cut falls behind the match.
 BOUNDARIES = (
@@ -61,8 +63,11 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         highest = start + limit
         lowest = max(done + 1, start + overlap + 1)
         reach = step / 3
-        lo, hi = bisect_left(places, max(lowest, target - reach)), bisect_right(places, min(highest, target + reach))
-        near = marks[lo:hi]
+        hi = bisect_right(places, min(highest, target + reach))
+        # no cut so early that the pieces counted on can't hold the rest, unless only that gives a whole sentence
+        near = marks[bisect_left(places, max(lowest, target - reach, n - (left - 1) * step)) : hi]
+        if max((m[1] for m in near), default=0) < SENTENCE:
+            near = marks[bisect_left(places, max(lowest, target - reach)) : hi]
         if near:
             cut = max(near, key=lambda m: (m[1], -abs(m[0] - target)))[0]
         else:

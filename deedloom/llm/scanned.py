@@ -126,7 +126,7 @@ def emissions(lines: list[Line], k: int, width: int, wrapped: bool) -> dict[str,
         header += 3.0
     if fits and not final:
         header += 2.0
-    if not fits and not final and after:
+    if not fits and not final and after and not COMPOSED.search(t):
         body += 1.5
     if not after and not final:
         header += 4.0

@@ -188,7 +188,8 @@ def survivors(terms: DataFrame, models: DataFrame) -> DataFrame:
 
     Redelivered rows count once. The term comes from the most trusted record (models without rank last), the definition
     from the one with the most words, the chunk from the latest with a chunk id; ties go to trust, then recency, then
-    the smallest id. Missing times rank last. Null filenames form groups of their own.
+    the smallest id. Missing times rank last. Null filenames form groups of their
+    own; records without any term belong to no group.
     """
     rows = first_load(terms.select("term_id", "filename", "term", "definition", "source_text", "source_chunk_id", "model", "extracted_at", "loaded_at"), "term_id")
     ranks = models.groupBy("model").agg(F.min("trust_rank").alias("trust_rank"))
@@ -196,7 +197,7 @@ def survivors(terms: DataFrame, models: DataFrame) -> DataFrame:
     facts = rows.join(ranks, "model", "left").select(
         "term_id", "trust_rank", "extracted_at", n_words.alias("n_words"), F.col("source_chunk_id").isNotNull().alias("has_chunk")
     )
-    whole = grouped(rows).join(facts, "term_id").withColumn("filename", F.coalesce("filename", F.lit("\0")))
+    whole = grouped(rows).where("gt <> ''").join(facts, "term_id").withColumn("filename", F.coalesce("filename", F.lit("\0")))
     group = ["filename", "gt", "gd"]
     sizes = whole.groupBy(*group).agg(F.min("term_id").alias("group_id"), F.count("*").alias("n")).where("n > 1")
     trust, latest = F.asc_nulls_last("trust_rank"), F.desc_nulls_last("extracted_at")
