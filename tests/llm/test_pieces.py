@@ -25,7 +25,7 @@ def test_any_text(text, limit, overlap):
 
 
 def test_boundaries_and_balance():
-    text = "\n\n".join("Sentence number %d is here. It has two parts; and more." % i * 8 for i in range(20))
+    text = "\n\n".join(" ".join([f"Sentence number {i} is here. It has two parts; and more."] * 8) for i in range(20))
     found = check(text, 2400, 200)
     assert len(found) == -(-(len(text) - 200) // 2200) and all(text[:e].rstrip().endswith(".") for _, e in found[:-1])
 
