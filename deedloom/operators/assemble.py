@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from deedloom.functions.text import py_strip
-from deedloom.operators.extract import FIELDS
+from deedloom.operators.extract import FIELDS, of_kind, widen
+from deedloom.operators.validate import as_json
 
 
 def dedupe_parties(parties: DataFrame, doc: str = "doc_id", order: tuple[str, ...] = ("chunk_id", "item_index")) -> DataFrame:
@@ -39,16 +40,9 @@ def dedupe_terms(terms: DataFrame, doc: str = "doc_id", order: tuple[str, ...] =
     )
 
 
-def fact_union(accepted: dict[str, DataFrame]) -> DataFrame:
+def fact_union(accepted: DataFrame) -> DataFrame:
     """All accepted facts in one long table: class, position and the fields as JSON."""
-    parts = [
-        df.select(
-            "doc_id", "chunk_id", F.lit(kind).alias("item_type"), "item_index", "source_text",
-            F.to_json(F.struct(*FIELDS[kind]), {"ignoreNullFields": "false"}).alias("item"),
-        )
-        for kind, df in accepted.items()
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return accepted.select("doc_id", "chunk_id", F.col("kind").alias("item_type"), "item_index", "source_text", as_json().alias("item"))
 
 
 def evidence_lookup(facts: DataFrame, chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -59,13 +53,18 @@ def evidence_lookup(facts: DataFrame, chunks: DataFrame, doc: str = "doc_id") ->
     return facts.join(prov, [doc, "source_chunk_id"])
 
 
-def counts(accepted: dict[str, DataFrame]) -> DataFrame:
+def counts(accepted: DataFrame) -> DataFrame:
     """Per chunk: how many facts of each class were accepted."""
-    long = reduce(
-        DataFrame.unionByName,
-        [df.select("doc_id", "chunk_id", F.lit(k).alias("item_type")) for k, df in accepted.items()],
-    )
-    return long.groupBy("doc_id", "chunk_id", "item_type").agg(F.count("*").alias("n"))
+    return accepted.groupBy("doc_id", "chunk_id", F.col("kind").alias("item_type")).agg(F.count("*").alias("n"))
+
+
+def first_wins(accepted: DataFrame) -> DataFrame:
+    """Accepted facts with parties and defined terms deduplicated; the other classes stay as they are."""
+    parties = dedupe_parties(of_kind(accepted, "party")).withColumn("source_chunk_id", F.col("chunk_id"))
+    terms = dedupe_terms(of_kind(accepted, "defined_term"))
+    keep = [*accepted.columns]
+    wide = [widen(k, d).withColumn("source_chunk_id", F.col("chunk_id")).select(*keep) for k, d in (("party", parties), ("defined_term", terms))]
+    return reduce(DataFrame.unionByName, [accepted.where(~F.col("kind").isin("party", "defined_term")), *wide])
 
 
 def _nested(df: DataFrame, name: str, order: list[str], fields: list[str]) -> DataFrame:
@@ -73,25 +72,40 @@ def _nested(df: DataFrame, name: str, order: list[str], fields: list[str]) -> Da
     return df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["v"]).alias(name))
 
 
-def representation(
-    docs: DataFrame, chunks: DataFrame, sections: DataFrame, accepted: dict[str, DataFrame], issues: DataFrame, report: DataFrame
-) -> DataFrame:
-    """The nested record per document: structure, semantics and validation; classes without facts are empty lists."""
-    out = docs.select("doc_id")
+# What the classes are called in the nested record.
+PLURALS = {"party": "parties", "defined_term": "defined_terms", "obligation": "obligations", "right": "rights", "reference": "references"}
+
+
+def representation(docs: DataFrame, chunks: DataFrame, sections: DataFrame, accepted: DataFrame, issues: DataFrame, report: DataFrame) -> DataFrame:
+    """The nested record per document: structure, semantics and validation; classes without facts are empty lists.
+
+    The facts of all classes are grouped in one pass. A document's record is bounded by the document.
+    """
+    per_kind = [
+        F.transform(
+            F.array_sort(
+                F.collect_list(
+                    F.when(F.col("kind") == k, F.struct("chunk_id", "item_index", F.struct(*FIELDS[k], "source_chunk_id").alias("v")))
+                )
+            ),
+            lambda x: x["v"],
+        ).alias(name)
+        for k, name in PLURALS.items()
+    ]
     pieces = [
         _nested(chunks, "chunks", ["chunk_id"], ["chunk_id", "text", "headings", "pages"]),
         _nested(sections, "sections", ["first_seen"], ["heading", "locator", "title", "level", "chunk_ids", "pages"]),
         _nested(issues, "issues", ["chunk_id", "type_ord", "item_index"], ["chunk_id", "item_type", "item_index", "reason", "source_text", "item"]),
+        accepted.groupBy("doc_id").agg(*per_kind),
+        report,
     ]
-    names = {"party": "parties", "defined_term": "defined_terms", "obligation": "obligations", "right": "rights", "reference": "references"}
-    for kind, df in accepted.items():
-        pieces.append(_nested(df, names[kind], ["chunk_id", "item_index"], [*FIELDS[kind], "source_chunk_id"]))
-    for p in [*pieces, report]:
+    out = docs.select("doc_id")
+    for p in pieces:
         out = out.join(p, "doc_id", "left")
     empty = lambda c: F.coalesce(c, F.array()).alias(c)
     return out.select(
         "doc_id",
         F.struct(empty("sections"), empty("chunks")).alias("structure"),
-        F.struct(*[empty(names[k]) for k in accepted]).alias("semantics"),
+        F.struct(*[empty(name) for name in PLURALS.values()]).alias("semantics"),
         F.struct(F.coalesce("chunks_validated", F.lit(0)).alias("chunks_validated"), empty("issues")).alias("validation"),
     )

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deedloom.functions.text import py_strip
@@ -18,10 +19,22 @@ DEFINES = r"(means|shall mean|refers to|includes)"
 REFERENCE = r"(Section [0-9]+(?:\.[0-9]+)*|Exhibit [A-Z]|Order Form(?: [0-9]+)?|Applicable Laws|[Tt]his Agreement|the foregoing|as described above)"
 
 
+# The fields of each class in their order, and of all classes together.
+FIELDS = {
+    "party": ["name", "designation", "source_text"],
+    "defined_term": ["term", "definition", "source_text"],
+    "obligation": ["party", "action", "object", "condition", "deadline", "source_text"],
+    "right": ["party", "action", "condition", "deadline", "source_text"],
+    "reference": ["target", "reference_type", "source_text"],
+}
+ALL_FIELDS = [*dict.fromkeys(f for names in FIELDS.values() for f in names if f != "source_text"), "source_text"]
+
+
 class Extractor(Protocol):
-    """Anything that turns chunks (doc_id, chunk_id, text) into candidates, keyed by class name."""
+    """Anything that turns chunks (doc_id, chunk_id, text) into candidates in long form: (doc_id, chunk_id, kind,
+    item_index, all fields), where ``item_index`` counts a class within its chunk from 0."""
 
-    def extract(self, chunks: DataFrame) -> dict[str, DataFrame]: ...
+    def extract(self, chunks: DataFrame) -> DataFrame: ...
 
 
 def split_sentences(chunks: DataFrame) -> DataFrame:
@@ -34,65 +47,50 @@ def split_sentences(chunks: DataFrame) -> DataFrame:
     )
 
 
-def parties(s: DataFrame) -> DataFrame:
-    """``between NAME ("Alias")``: name, designation and the sentence."""
-    pattern = r'between (.+?) \("([^"]+)"\)'
-    return s.where(F.col("sentence").rlike(pattern)).select(
-        "doc_id", "chunk_id", "pos",
-        F.regexp_extract("sentence", pattern, 1).alias("name"),
-        F.regexp_extract("sentence", pattern, 2).alias("designation"),
-        F.col("sentence").alias("source_text"),
-    )
+DEADLINE = r" (within .+? days|within .+? hours|no later than .+?|at least .+? days before .+?|prior to .+?|on or before .+?)[.,]?$"
+CONDITION = r",? ((?:if|unless|provided that|except|upon|subject to) .+?)\.?$"
+PARTY = r'between (.+?) \("([^"]+)"\)'
+DEFINITION = rf'^"([^"]+)" {DEFINES} (.+?)\.?$'
 
 
-def defined_terms(s: DataFrame) -> DataFrame:
-    """``"X" means Y.``: term, definition and the sentence."""
-    pattern = rf'^"([^"]+)" {DEFINES} (.+?)\.?$'
-    return s.where(F.col("sentence").rlike(pattern)).select(
-        "doc_id", "chunk_id", "pos",
-        F.regexp_extract("sentence", pattern, 1).alias("term"),
-        F.regexp_extract("sentence", pattern, 3).alias("definition"),
-        F.col("sentence").alias("source_text"),
-    )
+def party(s: Column) -> tuple[Column, dict[str, Column]]:
+    """``between NAME ("Alias")``."""
+    return s.rlike(PARTY), {"name": F.regexp_extract(s, PARTY, 1), "designation": F.regexp_extract(s, PARTY, 2)}
 
 
-DEADLINE = r" (within .+? days|within .+? hours|no later than .+?|at least .+? days before .+?|prior to .+?|on or before .+?)[.,]?$"
-CONDITION = r",? ((?:if|unless|provided that|except|upon|subject to) .+?)\.?$"
+def defined_term(s: Column) -> tuple[Column, dict[str, Column]]:
+    """``"X" means Y.``"""
+    return s.rlike(DEFINITION), {"term": F.regexp_extract(s, DEFINITION, 1), "definition": F.regexp_extract(s, DEFINITION, 3)}
 
 
-def _deontic(s: DataFrame, signal: str) -> DataFrame:
+def _deontic(s: Column, signal: str) -> tuple[Column, dict[str, Column]]:
     pattern = rf"^(.+?) {signal} (.+?)\.?$"
-    body = F.regexp_extract("sentence", pattern, 3)
-    condition = F.when(body.rlike(CONDITION), F.regexp_extract(body, CONDITION, 1))
+    body = F.regexp_extract(s, pattern, 3)
     short = F.regexp_replace(body, CONDITION, "")
-    deadline = F.when(short.rlike(DEADLINE), F.regexp_extract(short, DEADLINE, 1))
-    return s.where(F.col("sentence").rlike(pattern)).select(
-        "doc_id", "chunk_id", "pos",
-        F.regexp_extract("sentence", pattern, 1).alias("party"),
-        F.concat_ws(" ", F.when(F.regexp_extract("sentence", pattern, 2).isin("shall not", "may not"), "not"),
-                    F.regexp_replace(short, DEADLINE, "")).alias("action"),
-        condition.alias("condition"),
-        deadline.alias("deadline"),
-        F.col("sentence").alias("source_text"),
-    )
-
-
-def obligations(s: DataFrame) -> DataFrame:
+    negative = F.when(F.regexp_extract(s, pattern, 2).isin("shall not", "may not"), "not")
+    return s.rlike(pattern), {
+        "party": F.regexp_extract(s, pattern, 1),
+        "action": F.concat_ws(" ", negative, F.regexp_replace(short, DEADLINE, "")),
+        "condition": F.when(body.rlike(CONDITION), F.regexp_extract(body, CONDITION, 1)),
+        "deadline": F.when(short.rlike(DEADLINE), F.regexp_extract(short, DEADLINE, 1)),
+    }
+
+
+def obligation(s: Column) -> tuple[Column, dict[str, Column]]:
     """Duties and prohibitions; ``may not`` is a prohibition, a definition is none."""
-    return _deontic(s.where(~F.col("sentence").rlike(rf'^"[^"]+" {DEFINES} ')), DUTY).withColumn(
-        "object", F.lit(None).cast("string")
-    )
+    fits, fields = _deontic(s, DUTY)
+    return fits & ~s.rlike(rf'^"[^"]+" {DEFINES} '), fields
 
 
-def rights(s: DataFrame) -> DataFrame:
+def right(s: Column) -> tuple[Column, dict[str, Column]]:
     """Permissions; sentences with ``may not`` are none."""
-    return _deontic(s.where(~F.col("sentence").contains("may not")), PERMISSION)
+    fits, fields = _deontic(s, PERMISSION)
+    return fits & ~s.contains("may not"), fields
 
 
-def references(s: DataFrame) -> DataFrame:
-    """Every mention of a section, exhibit, order form, law or the agreement, with its type."""
-    t = F.col("target")
-    kind = (
+def reference_kind(t: Column) -> Column:
+    """The type of a mention of a section, exhibit, order form, law or the agreement."""
+    return (
         F.when(t.startswith("Section"), "section_reference")
         .when(t.startswith("Exhibit"), "exhibit_reference")
         .when(t.startswith("Order Form"), "order_form_reference")
@@ -100,71 +98,81 @@ def references(s: DataFrame) -> DataFrame:
         .when(t == "Applicable Laws", "other_contract_reference")
         .otherwise("defined_term_reference")
     )
-    return s.select(
-        "doc_id", "chunk_id", "pos",
-        F.posexplode(F.regexp_extract_all("sentence", F.lit(REFERENCE), F.lit(1))).alias("nth", "target"),
-        F.col("sentence").alias("source_text"),
-    ).withColumn("reference_type", kind)
+
+
+def items_of(s: Column) -> Column:
+    """All items of a sentence as one array of (kind, nth, fields): every sentence is read once for all classes."""
+
+    def item(kind: str, nth: Column, fields: dict[str, Column]) -> Column:
+        null = F.lit(None).cast("string")
+        return F.struct(F.lit(kind).alias("kind"), nth.alias("nth"), *[fields.get(f, null).alias(f) for f in ALL_FIELDS[:-1]])
+
+    single = []
+    for kind, rule in (("party", party), ("defined_term", defined_term), ("obligation", obligation), ("right", right)):
+        fits, fields = rule(s)
+        single.append(F.when(fits, item(kind, F.lit(0), fields)))
+    mentions = F.transform(
+        F.regexp_extract_all(s, F.lit(REFERENCE), F.lit(1)),
+        lambda t, k: item("reference", k, {"target": t, "reference_type": reference_kind(t)}),
+    )
+    return F.concat(F.filter(F.array(*single), lambda x: x.isNotNull()), mentions)
 
 
 class RuleExtractor:
     """The deterministic provider: built-in expressions only, an approximation of free extraction."""
 
-    def extract(self, chunks: DataFrame) -> dict[str, DataFrame]:
-        s = split_sentences(chunks)
-        return {
-            "party": numbered(parties(s)),
-            "defined_term": numbered(defined_terms(s)),
-            "obligation": numbered(obligations(s)),
-            "right": numbered(rights(s)),
-            "reference": numbered(references(s), "nth"),
-        }
+    def extract(self, chunks: DataFrame) -> DataFrame:
+        found = split_sentences(chunks).select(
+            "doc_id", "chunk_id", "pos", F.col("sentence").alias("source_text"), F.inline(items_of(F.col("sentence")))
+        )
+        return numbered(found, "pos", "nth").drop("pos", "nth")
 
 
-def numbered(items: DataFrame, *extra: str) -> DataFrame:
-    """Add ``item_index``: the item's position in its chunk, from 0, over all items whether valid or not."""
-    from pyspark.sql import Window
+def numbered(items: DataFrame, *order: str) -> DataFrame:
+    """Add ``item_index``: the item's position in its chunk and class, from 0, over all items whether valid or not."""
+    w = Window.partitionBy("doc_id", "chunk_id", "kind").orderBy(*order)
+    return items.withColumn("item_index", F.row_number().over(w) - 1)
 
-    w = Window.partitionBy("doc_id", "chunk_id").orderBy("pos", *extra)
-    return items.withColumn("item_index", F.row_number().over(w) - 1).drop("pos", *extra)
 
+def widen(kind: str, items: DataFrame) -> DataFrame:
+    """Items of one class (doc_id, chunk_id, item_index, its fields) in long form."""
+    own = set(items.columns)
+    fields = [(F.col(f) if f in own else F.lit(None).cast("string")).alias(f) for f in ALL_FIELDS]
+    return items.select("doc_id", "chunk_id", F.lit(kind).alias("kind"), "item_index", *fields)
 
-class ReplayExtractor:
-    """Candidates that were extracted before, by class."""
 
-    def __init__(self, candidates: dict[str, DataFrame]):
-        self.candidates = candidates
+def together(candidates: dict[str, DataFrame]) -> DataFrame:
+    """Classes given one by one in one long table."""
+    return reduce(DataFrame.unionByName, [widen(k, c) for k, c in candidates.items() if k in FIELDS])
 
-    def extract(self, chunks: DataFrame) -> dict[str, DataFrame]:
-        keys = chunks.select("doc_id", "chunk_id")
-        return {k: c.join(keys, ["doc_id", "chunk_id"], "left_semi") for k, c in self.candidates.items()}
 
+def of_kind(items: DataFrame, kind: str) -> DataFrame:
+    """One class of a long table with its own fields."""
+    rest = [c for c in items.columns if c not in ALL_FIELDS and c != "kind"]
+    return items.where(F.col("kind") == kind).select(*rest, *FIELDS[kind])
 
-# The fields of each class in their order.
-FIELDS = {
-    "party": ["name", "designation", "source_text"],
-    "defined_term": ["term", "definition", "source_text"],
-    "obligation": ["party", "action", "object", "condition", "deadline", "source_text"],
-    "right": ["party", "action", "condition", "deadline", "source_text"],
-    "reference": ["target", "reference_type", "source_text"],
-}
+
+class ReplayExtractor:
+    """Candidates that were extracted before, in long form."""
+
+    def __init__(self, candidates: DataFrame):
+        self.candidates = candidates
+
+    def extract(self, chunks: DataFrame) -> DataFrame:
+        return self.candidates.join(chunks.select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_semi")
 
 
 class ClientExtractor:
     """A model behind a client: ``make_client()`` gives, once per partition, a callable text -> {class: [item, ...]}.
 
-    Failed calls are repeated up to ``retries`` times, then the error travels as a row of class ``error``, so that one
-    bad chunk doesn't end the job. The reply is kept once (a checkpoint) and split by class.
+    Failed calls are repeated up to ``retries`` times, then the error travels as a row of kind ``error`` with its message
+    as ``source_text``, so that one bad chunk doesn't end the job.
     """
 
     def __init__(self, make_client: Callable[[], Callable[[str], dict]], retries: int = 2):
         self.make_client, self.retries = make_client, retries
 
-    def extract(self, chunks: DataFrame) -> dict[str, DataFrame]:
-        import json
-
-        from deedloom.session import cut_lineage
-
+    def extract(self, chunks: DataFrame) -> DataFrame:
         make_client, retries = self.make_client, self.retries
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,20 +185,12 @@ class ClientExtractor:
                             reply = client(text or "")
                             break
                         except Exception as e:  # the client's own errors are data here
-                            reply = {"error": [{"message": str(e)}]}
+                            reply = {"error": [{"source_text": str(e)}]}
                     for kind, items in reply.items():
-                        out += [(doc, chunk, kind, i, json.dumps(x, ensure_ascii=False)) for i, x in enumerate(items)]
-                yield pd.DataFrame(out, columns=["doc_id", "chunk_id", "kind", "item_index", "item"])
+                        out += [(doc, chunk, kind, i, *(x.get(f) for f in ALL_FIELDS)) for i, x in enumerate(items)]
+                yield pd.DataFrame(out, columns=["doc_id", "chunk_id", "kind", "item_index", *ALL_FIELDS])
 
         key = dict(chunks.dtypes)
-        schema = f"doc_id {key['doc_id']}, chunk_id {key['chunk_id']}, kind string, item_index int, item string"
-        replies = cut_lineage(chunks.select("doc_id", "chunk_id", "text").mapInPandas(run, schema))
-        out = {}
-        for kind, names in [*FIELDS.items(), ("error", ["message"])]:
-            parsed = F.from_json("item", ", ".join(f"{n} string" for n in names))
-            out[kind] = (
-                replies.where(F.col("kind") == kind)
-                .withColumn("p", parsed)
-                .select("doc_id", "chunk_id", "item_index", *[f"p.{n}" for n in names])
-            )
-        return out
+        fields = ", ".join(f"{f} string" for f in ALL_FIELDS)
+        schema = f"doc_id {key['doc_id']}, chunk_id {key['chunk_id']}, kind string, item_index int, {fields}"
+        return chunks.select("doc_id", "chunk_id", "text").mapInPandas(run, schema)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,35 +29,34 @@ def edge_metadata(label: str) -> dict[str, str]:
     return {"edge_label": label}
 
 
-def vertices(accepted: dict[str, DataFrame], clauses: DataFrame | None = None) -> DataFrame:
-    """(doc_id, type, key): distinct contracts, parties, defined terms and clauses; null keys are left out."""
-    parts = [
-        accepted["party"].select("doc_id", F.lit("Party").alias("type"), F.col("name").alias("key")),
-        accepted["defined_term"].select("doc_id", F.lit("DefinedTerm").alias("type"), F.col("term").alias("key")),
-    ]
-    for kind in ("obligation", "right"):
-        parts.append(accepted[kind].select("doc_id", F.lit("Party").alias("type"), F.col("party").alias("key")))
+def vertices(accepted: DataFrame, clauses: DataFrame | None = None) -> DataFrame:
+    """(doc_id, type, key): distinct contracts, parties, defined terms and clauses; null keys are left out.
+
+    A contract is a vertex if it has a party or a defined term. All come from one pass over the facts.
+    """
+    vertex = lambda kind, key: F.struct(F.lit(kind).alias("type"), key.alias("key"))
+    party = F.when(F.col("kind").isin("obligation", "right"), F.col("party")).otherwise(F.col("name"))
+    contract = F.when(F.col("kind").isin("party", "defined_term"), F.col("doc_id").cast("string"))
+    found = F.array(vertex("Party", party), vertex("DefinedTerm", F.col("term")), vertex("Contract", contract))
+    out = accepted.select("doc_id", F.inline(found))
     if clauses is not None:
-        parts.append(clauses.select("doc_id", F.lit("Clause").alias("type"), F.col("number").alias("key")))
-    parts.append(parts[0].unionByName(parts[1]).select("doc_id", F.lit("Contract").alias("type"), F.col("doc_id").cast("string").alias("key")))
-    return reduce(DataFrame.unionByName, parts).where("key is not null").distinct()
+        out = out.unionByName(clauses.select("doc_id", F.lit("Clause").alias("type"), F.col("number").alias("key")))
+    return out.where("key is not null").distinct()
 
 
-def edges(accepted: dict[str, DataFrame]) -> DataFrame:
+def edges(accepted: DataFrame) -> DataFrame:
     """(doc_id, src_type, src, label, dst_type, dst): contract to parties and terms, duties and rights to parties."""
+    fact = F.concat_ws(":", "kind", F.col("chunk_id").cast("string"), F.col("item_index").cast("string"))
     doc = F.col("doc_id").cast("string")
-
-    def part(df: DataFrame, src_type: str, src, label: str, dst_type: str, dst: str) -> DataFrame:
-        return df.select(
-            "doc_id", F.lit(src_type).alias("src_type"), src.alias("src"), F.lit(label).alias("label"),
-            F.lit(dst_type).alias("dst_type"), F.col(dst).alias("dst"),
-        )
-
-    fact = lambda kind: F.concat_ws(":", F.lit(kind), F.col("chunk_id").cast("string"), F.col("item_index").cast("string"))
-    parts = [
-        part(accepted["party"], "Contract", doc, "HAS_PARTY", "Party", "name"),
-        part(accepted["defined_term"], "Contract", doc, "HAS_DEFINED_TERM", "DefinedTerm", "term"),
-        part(accepted["obligation"], "Obligation", fact("obligation"), "IMPOSES_ON", "Party", "party"),
-        part(accepted["right"], "Right", fact("right"), "GRANTED_TO", "Party", "party"),
+    of = lambda kind, src_type, src, label, dst_type, dst: (
+        F.col("kind") == kind,
+        F.struct(F.lit(src_type).alias("src_type"), src.alias("src"), F.lit(label).alias("label"), F.lit(dst_type).alias("dst_type"), F.col(dst).alias("dst")),
+    )
+    rules = [
+        of("party", "Contract", doc, "HAS_PARTY", "Party", "name"),
+        of("defined_term", "Contract", doc, "HAS_DEFINED_TERM", "DefinedTerm", "term"),
+        of("obligation", "Obligation", fact, "IMPOSES_ON", "Party", "party"),
+        of("right", "Right", fact, "GRANTED_TO", "Party", "party"),
     ]
-    return reduce(DataFrame.unionByName, parts).where("dst is not null").distinct()
+    edge = F.coalesce(*[F.when(fits, value) for fits, value in rules])
+    return accepted.select("doc_id", edge.alias("e")).select("doc_id", "e.*").where("dst is not null").distinct()

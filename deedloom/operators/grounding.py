@@ -25,7 +25,7 @@ def grounded(texts: DataFrame, passages: DataFrame, n: int = 5) -> DataFrame:
     long = p.where(F.size("w") >= n + 2).select("passage_id", "needle", F.hash(F.slice("w", 2, n)).alias("k"))
     short = p.where(F.size("w") < n + 2).select("passage_id", "needle")
     t = texts.select("text_id", evidence(F.col("text")).alias("folded")).where("folded is not null")
-    words = F.split("folded", " ")
+    words = F.col("w")  # a column of its own: within the function over positions the text would be split each time
     runs = F.when(
         F.size(words) >= n,
         F.array_distinct(
@@ -34,6 +34,6 @@ def grounded(texts: DataFrame, passages: DataFrame, n: int = 5) -> DataFrame:
     )
     small = passages.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     hint = (lambda x: F.broadcast(x)) if small else (lambda x: x)
-    met = t.withColumn("k", F.explode(runs)).join(hint(long), "k").where(F.contains("folded", "needle"))
+    met = t.withColumn("w", F.split("folded", " ")).select("text_id", "folded", F.explode(runs).alias("k")).join(hint(long), "k").where(F.contains("folded", "needle"))
     rest = t.join(hint(short), F.contains("folded", "needle"))
     return met.select("text_id", "passage_id").unionByName(rest.select("text_id", "passage_id")).distinct()

@@ -61,37 +61,36 @@ def _first(*checks: tuple[Column, str]) -> Column:
     return out
 
 
-def check(kind: str, candidates: DataFrame, chunks: DataFrame, mode: str = "compat") -> DataFrame:
-    """Candidates of one class with ``status`` (accept, repair, reject) and ``reason``.
+def check(candidates: DataFrame, chunks: DataFrame, mode: str = "compat") -> DataFrame:
+    """Candidates in long form with ``status`` (accept, repair, reject) and ``reason``.
 
-    Chunk texts are folded once per chunk, before the join. A candidate whose chunk doesn't exist is rejected as
-    unsupported. Repeated candidates are kept apart by their ``item_index``.
+    Chunk texts are folded once per chunk and meet the candidates of all classes in one join. A candidate whose chunk
+    doesn't exist is rejected as unsupported. Repeated candidates are kept apart by their ``item_index``; rows of other
+    kinds than the five classes, such as errors, are left out.
     """
-    if kind not in FIELDS:
-        raise ValueError(f"unknown class {kind!r}")
-    folded = chunks.select("doc_id", "chunk_id", F.col("text").alias("_raw"), evidence(F.col("text")).alias("_chunk"))
-    rows = candidates.withColumn("_src", evidence(F.col("source_text"))).join(folded, ["doc_id", "chunk_id"], "left")
-    raw, chunk, src = F.col("_raw"), F.col("_chunk"), F.col("_src")
-    grounded = supported(F.col("source_text"), src, chunk)
-    repaired = F.lit(False)
-    if kind == "party":
-        name, alias = evidence(F.col("name")), F.coalesce("designation", F.lit(""))
-        reason = _first((~grounded, UNSUPPORTED), (~mentions(raw, F.col("name"), chunk, name), NO_NAME))
-        repaired = (alias != "") & ~mentions(F.col("source_text"), F.col("designation"), src, evidence(F.col("designation")))
-    elif kind == "defined_term":
-        term = evidence(F.col("term"))
-        reason = _first(
-            (~grounded, UNSUPPORTED),
-            (~mentions(raw, F.col("term"), chunk, term), NO_TERM),
-            (~defines(term, src, mode), NO_PATTERN),
-        )
-    elif kind in ("obligation", "right"):
-        nobody, nothing = (NO_OBLIGED, NO_DUTY) if kind == "obligation" else (NO_HOLDER, NO_RIGHT)
-        reason = _first((is_blank(F.col("party")), nobody), (is_blank(F.col("action")), nothing), (~grounded, UNSUPPORTED))
-    else:
-        target = evidence(F.col("target"))
-        reason = _first((~grounded, UNSUPPORTED), (~mentions(F.col("source_text"), F.col("target"), src, target), NO_TARGET))
-    out = rows.withColumn("_bad", reason).withColumn("_fix", F.col("_bad").isNull() & repaired)
+    chunk_texts = chunks.select("doc_id", "chunk_id", F.col("text").alias("_raw"), evidence(F.col("text")).alias("_chunk"))
+    subject = F.coalesce("name", "term", "target")
+    rows = (
+        candidates.where(F.col("kind").isin(*FIELDS))
+        .withColumns({"_src": evidence(F.col("source_text")), "_subject": subject})
+        .withColumns({"_key": evidence(F.col("_subject")), "_alias": evidence(F.col("designation"))})
+        .join(chunk_texts, ["doc_id", "chunk_id"], "left")
+    )
+    raw, chunk, src, named, key = (F.col(c) for c in ("_raw", "_chunk", "_src", "_subject", "_key"))
+    ungrounded = ~supported(F.col("source_text"), src, chunk)
+    absent = ~mentions(raw, named, chunk, key)
+    no_party, no_action = is_blank(F.col("party")), is_blank(F.col("action"))
+    alias = F.col("designation")
+    by_kind = {
+        "party": _first((ungrounded, UNSUPPORTED), (absent, NO_NAME)),
+        "defined_term": _first((ungrounded, UNSUPPORTED), (absent, NO_TERM), (~defines(key, src, mode), NO_PATTERN)),
+        "obligation": _first((no_party, NO_OBLIGED), (no_action, NO_DUTY), (ungrounded, UNSUPPORTED)),
+        "right": _first((no_party, NO_HOLDER), (no_action, NO_RIGHT), (ungrounded, UNSUPPORTED)),
+        "reference": _first((ungrounded, UNSUPPORTED), (~mentions(F.col("source_text"), named, src, key), NO_TARGET)),
+    }
+    reason = reduce(lambda w, k: w.when(F.col("kind") == k, by_kind[k]), by_kind, F.when(F.lit(False), F.lit(None).cast("string")))
+    unsupported_alias = (F.coalesce(alias, F.lit("")) != "") & ~mentions(F.col("source_text"), alias, src, F.col("_alias"))
+    out = rows.withColumn("_bad", reason).withColumn("_fix", F.col("_bad").isNull() & (F.col("kind") == "party") & unsupported_alias)
     return out.select(
         *candidates.columns,
         F.when(F.col("_bad").isNotNull(), "reject").when(F.col("_fix"), "repair").otherwise("accept").alias("status"),
@@ -99,35 +98,40 @@ def check(kind: str, candidates: DataFrame, chunks: DataFrame, mode: str = "comp
     )
 
 
-def accepted(kind: str, checked: DataFrame) -> DataFrame:
-    """What passes, with ``source_chunk_id``; an unsupported designation is taken away."""
-    out = checked.where("status <> 'reject'")
-    if kind == "party":
-        out = out.withColumn("designation", F.when(F.col("status") == "accept", F.col("designation")))
-    return out.drop("status", "reason").withColumn("source_chunk_id", F.col("chunk_id"))
+def accepted(checked: DataFrame) -> DataFrame:
+    """What passes, in long form with ``source_chunk_id``; an unsupported designation is taken away."""
+    kept = checked.where("status <> 'reject'").withColumn("designation", F.when(F.col("status") == "accept", F.col("designation")))
+    return kept.drop("status", "reason").withColumn("source_chunk_id", F.col("chunk_id"))
+
+
+def as_json(*extra: Column) -> Column:
+    """The fields of an item's class as JSON, null ones included."""
+    out = None
+    for kind, fields in FIELDS.items():
+        row = F.to_json(F.struct(*fields, *extra), {"ignoreNullFields": "false"})
+        out = F.when(F.col("kind") == kind, row) if out is None else out.when(F.col("kind") == kind, row)
+    return out
 
 
-def issues(kind: str, checked: DataFrame) -> DataFrame:
+def issues(checked: DataFrame) -> DataFrame:
     """One row per problem; ``item`` holds the candidate as it came, null fields included."""
-    fields = [*[F.col(f) for f in FIELDS[kind]], F.lit(None).cast("int").alias("source_chunk_id")]
-    item_type = F.when(F.col("status") == "repair", "party_designation").otherwise(kind)
+    order = F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_ORDER.items() for x in kv]), F.col("kind"))
     return checked.where("status <> 'accept'").select(
         "doc_id",
         "chunk_id",
-        F.lit(TYPE_ORDER[kind]).alias("type_ord"),
-        item_type.alias("item_type"),
+        order.alias("type_ord"),
+        F.when(F.col("status") == "repair", "party_designation").otherwise(F.col("kind")).alias("item_type"),
         "item_index",
         "reason",
         "source_text",
-        F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("item"),
+        as_json(F.lit(None).cast("int").alias("source_chunk_id")).alias("item"),
     )
 
 
-def validate(candidates: dict[str, DataFrame], chunks: DataFrame, mode: str = "compat") -> tuple[dict[str, DataFrame], DataFrame]:
-    """All classes: what passes, by class, and the issues of all in one table."""
-    checked = {k: check(k, c, chunks, mode) for k, c in candidates.items() if k in FIELDS}
-    found = reduce(DataFrame.unionByName, [issues(k, c) for k, c in checked.items()])
-    return {k: accepted(k, c) for k, c in checked.items()}, found
+def validate(candidates: DataFrame, chunks: DataFrame, mode: str = "compat") -> tuple[DataFrame, DataFrame]:
+    """(what passes, the issues), both in long form over all classes."""
+    checked = check(candidates, chunks, mode)
+    return accepted(checked), issues(checked)
 
 
 def report(chunks: DataFrame, found: DataFrame, validated: bool = True) -> DataFrame:

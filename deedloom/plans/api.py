@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deedloom.operators import assemble, blocks, segment, structure
 from deedloom.operators import validate as checks
 from deedloom.operators.extract import Extractor, RuleExtractor
+from deedloom.session import Settings, cut_lineage
 from deedloom.sources.files import without_chunks
 
 parse_blocks = blocks.canonical_blocks
@@ -21,15 +22,21 @@ validate = checks.validate
 
 @dataclass
 class Contracts:
-    """What extraction over a set of documents gives."""
+    """What extraction over a set of documents gives; facts and issues in long form over all classes."""
 
     representation: DataFrame
-    accepted: dict[str, DataFrame]
+    accepted: DataFrame
     issues: DataFrame
     errors: DataFrame
 
 
-def extract_chunk(chunks: DataFrame, chunk_index: int = 0, extractor: Extractor | None = None, validate: bool = False) -> dict[str, DataFrame]:
+def health(spark: SparkSession) -> dict[str, str]:
+    """Whether the session works, and in which environment."""
+    ok = spark.range(1).count() == 1
+    return {"status": "ok" if ok else "failed", "service": "deedloom", "environment": Settings.read(spark).environment}
+
+
+def extract_chunk(chunks: DataFrame, chunk_index: int = 0, extractor: Extractor | None = None, validate: bool = False) -> DataFrame:
     """Facts of one chunk per document. The filter precedes extraction; without ``validate`` nothing is checked.
 
     An index below 0 is an error; documents that have no such chunk give no rows.
@@ -40,7 +47,7 @@ def extract_chunk(chunks: DataFrame, chunk_index: int = 0, extractor: Extractor
     found = (extractor or RuleExtractor()).extract(one)
     if validate:
         return checks.validate(found, one)[0]
-    return {k: df.withColumn("source_chunk_id", F.col("chunk_id")) for k, df in found.items() if k != "error"}
+    return found.where("kind <> 'error'").withColumn("source_chunk_id", F.col("chunk_id"))
 
 
 def extract_contract(
@@ -52,20 +59,21 @@ def extract_contract(
     extractor: Extractor | None = None,
 ) -> Contracts:
     """Structure, semantics and validation of documents (doc_id) given their chunks (doc_id, chunk_id, text, headings,
-    pages). ``max_chunks`` limits semantics alone; structure keeps all chunks."""
+    pages). ``max_chunks`` limits semantics alone; structure keeps all chunks.
+
+    The checked candidates are written once to the shared checkpoint folder, since facts, issues and the report all
+    read them; extraction, the dearest step, runs once.
+    """
     sections = structure.doc_sections(chunks)
     read = structure.first_chunks(chunks, max_chunks)
-    candidates = (extractor or RuleExtractor()).extract(read)
+    candidates = (extractor or RuleExtractor()).extract(read).where("kind <> 'error'")
     if validate:
-        accepted, issues = checks.validate(candidates, read, mode)
+        checked = checks.check(candidates, read, mode)
     else:
-        accepted = {k: c.withColumn("source_chunk_id", F.col("chunk_id")) for k, c in candidates.items() if k != "error"}
-        issues = checks.issues("party", accepted["party"].withColumn("status", F.lit("accept")).withColumn("reason", F.lit(None).cast("string")))
-    accepted = {
-        **accepted,
-        "party": assemble.dedupe_parties(accepted["party"]).withColumn("source_chunk_id", F.col("chunk_id")),
-        "defined_term": assemble.dedupe_terms(accepted["defined_term"]),
-    }
+        checked = candidates.withColumn("status", F.lit("accept")).withColumn("reason", F.lit(None).cast("string"))
+    checked = cut_lineage(checked)
+    issues = checks.issues(checked)
+    accepted = assemble.first_wins(checks.accepted(checked))
     report = checks.report(read, issues, validate).select("doc_id", "chunks_validated")
     whole = assemble.representation(docs, chunks, sections, accepted, issues, report)
     return Contracts(whole, accepted, issues, without_chunks(docs, chunks))

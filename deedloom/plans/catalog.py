@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deedloom.functions import text as tx
@@ -283,36 +282,31 @@ def section_chunk_link(spark, d):
 @query("extract_one_chunk", sql.EXTRACT_ONE)
 def extract_one_chunk(spark, d):
     facts = extract_chunk(derived.sentence_chunks(spark, d), 1)
-    parts = [f.select("doc_id", F.lit(k).alias("item_type"), "item_index", "source_text") for k, f in facts.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return facts.select("doc_id", F.col("kind").alias("item_type"), "item_index", "source_text")
 
 
 # --- extraction ---------------------------------------------------------------------------------------------------
 
 
-def _sentences(spark, d):
-    return extract.split_sentences(derived.sentence_chunks(spark, d))
-
-
-def _extract(name: str, oracle: str):
+def _extract(name: str, kind: str, oracle: str):
     @query(f"extract_{name}", oracle)
     def run(spark, d):
-        found = getattr(extract, name)(_sentences(spark, d)).drop("pos", "nth", "object")
-        return found
+        found = extract.RuleExtractor().extract(derived.sentence_chunks(spark, d))
+        return extract.of_kind(found, kind).drop("item_index", "object")
 
     return run
 
 
-for _name, _oracle in (
-    ("parties", sql.X_PARTIES), ("defined_terms", sql.X_TERMS), ("obligations", sql.X_OBLIGATIONS),
-    ("rights", sql.X_RIGHTS), ("references", sql.X_REFERENCES),
+for _name, _kind, _oracle in (
+    ("parties", "party", sql.X_PARTIES), ("defined_terms", "defined_term", sql.X_TERMS), ("obligations", "obligation", sql.X_OBLIGATIONS),
+    ("rights", "right", sql.X_RIGHTS), ("references", "reference", sql.X_REFERENCES),
 ):
-    _extract(_name, _oracle)
+    _extract(_name, _kind, _oracle)
 
 
 @query("sentence_split", sql.SENTENCES)
 def sentence_split(spark, d):
-    return _sentences(spark, d).select("doc_id", "chunk_id", F.col("sentence"))
+    return extract.split_sentences(derived.sentence_chunks(spark, d)).select("doc_id", "chunk_id", "sentence")
 
 
 # --- grounding and validation -------------------------------------------------------------------------------------
@@ -353,7 +347,7 @@ def candidates(spark, d) -> dict[str, DataFrame]:
 def _validate(kind: str, name: str, oracle: str):
     @query(f"validate_{name}", oracle)
     def run(spark, d):
-        out = validate.check(kind, candidates(spark, d)[kind], derived.sentence_chunks(spark, d))
+        out = validate.check(extract.widen(kind, candidates(spark, d)[kind]), derived.sentence_chunks(spark, d))
         return out.select("doc_id", "chunk_id", "item_index", "status", "reason")
 
     return run
@@ -367,32 +361,32 @@ for _kind, _name in (
 
 @query("validate_terms_fixed", sql.VALIDATE_FIXED)
 def validate_terms_fixed(spark, d):
-    out = validate.check("defined_term", candidates(spark, d)["defined_term"], derived.sentence_chunks(spark, d), "fixed")
+    out = validate.check(extract.widen("defined_term", candidates(spark, d)["defined_term"]), derived.sentence_chunks(spark, d), "fixed")
     return out.select("doc_id", "chunk_id", "item_index", "status", "reason")
 
 
 @query("validation_issues", sql.ISSUES)
 def validation_issues(spark, d):
-    _, found = validate.validate(candidates(spark, d), derived.sentence_chunks(spark, d))
+    _, found = validate.validate(extract.together(candidates(spark, d)), derived.sentence_chunks(spark, d))
     return found
 
 
 @query("validation_report", sql.REPORT)
 def validation_report(spark, d):
     chunks = derived.sentence_chunks(spark, d)
-    _, found = validate.validate(candidates(spark, d), chunks)
+    _, found = validate.validate(extract.together(candidates(spark, d)), chunks)
     return validate.report(chunks, found)
 
 
 @query("accepted_counts", sql.ACCEPTED)
 def accepted_counts(spark, d):
-    passed, _ = validate.validate(candidates(spark, d), derived.sentence_chunks(spark, d))
+    passed, _ = validate.validate(extract.together(candidates(spark, d)), derived.sentence_chunks(spark, d))
     return assemble.counts(passed)
 
 
 @query("fact_union", sql.FACTS)
 def fact_union(spark, d):
-    passed, _ = validate.validate(candidates(spark, d), derived.sentence_chunks(spark, d))
+    passed, _ = validate.validate(extract.together(candidates(spark, d)), derived.sentence_chunks(spark, d))
     return assemble.fact_union(passed)
 
 
@@ -404,21 +398,21 @@ def _table_candidates(spark, d, name: str, key: str, *columns: str) -> DataFrame
 @query("validate_obligation_table", sql.CHECK_OBLIGATIONS)
 def validate_obligation_table(spark, d):
     c = _table_candidates(spark, d, "obligations", "obligation_id", "party", "action", "source_text")
-    out = validate.check("obligation", c, contract_chunks(spark, d, "text"))
+    out = validate.check(extract.widen("obligation", c), contract_chunks(spark, d, "text"))
     return out.select(F.col("item_index").alias("obligation_id"), "status", "reason")
 
 
 @query("validate_reference_table", sql.CHECK_REFERENCES)
 def validate_reference_table(spark, d):
     c = _table_candidates(spark, d, "contract_references", "ref_id", "target", "source_text")
-    out = validate.check("reference", c, contract_chunks(spark, d, "text"))
+    out = validate.check(extract.widen("reference", c), contract_chunks(spark, d, "text"))
     return out.groupBy("doc_id", "status", "reason").agg(F.count("*").alias("n"))
 
 
 @query("validate_term_table", sql.CHECK_TERMS)
 def validate_term_table(spark, d):
     c = _table_candidates(spark, d, "defined_terms", "term_id", "term", "source_text")
-    out = validate.check("defined_term", c, contract_chunks(spark, d, "text"))
+    out = validate.check(extract.widen("defined_term", c), contract_chunks(spark, d, "text"))
     return out.select(F.col("item_index").alias("term_id"), "status", "reason")
 
 
@@ -454,7 +448,7 @@ def evidence_lookup(spark, d):
 
 
 def _graph_facts(spark, d):
-    passed, _ = validate.validate(candidates(spark, d), derived.sentence_chunks(spark, d))
+    passed, _ = validate.validate(extract.together(candidates(spark, d)), derived.sentence_chunks(spark, d))
     return passed
 
 

@@ -19,7 +19,7 @@ def chunks(spark):
 
 def test_rule_extraction(chunks):
     found = extract.RuleExtractor().extract(chunks.where("doc_id = 'd' and chunk_id = 0"))
-    row = lambda k: [r.asDict() for r in found[k].orderBy("item_index").collect()]
+    row = lambda k: [r.asDict() for r in extract.of_kind(found, k).orderBy("item_index").collect()]
     assert (row("party")[0]["name"], row("party")[0]["designation"]) == ("Nordwind Ltd", "Nord")
     assert [r["term"] for r in row("defined_term")] == ["Users", "Order Form"]
     assert [(r["action"], r["deadline"]) for r in row("obligation")] == [("pay the fee", "within 30 days"), ("not assign Section 2.3", None)]
@@ -28,9 +28,9 @@ def test_rule_extraction(chunks):
 
 
 def test_definition_modes(spark, chunks):
-    terms = extract.RuleExtractor().extract(chunks.where("doc_id = 'd' and chunk_id = 0"))["defined_term"]
-    compat = {r.term: r.status for r in validate.check("defined_term", terms, chunks).collect()}
-    fixed = {r.term: r.status for r in validate.check("defined_term", terms, chunks, "fixed").collect()}
+    terms = extract.RuleExtractor().extract(chunks.where("doc_id = 'd' and chunk_id = 0")).where("kind = 'defined_term'")
+    compat = {r.term: r.status for r in validate.check(terms, chunks).collect()}
+    fixed = {r.term: r.status for r in validate.check(terms, chunks, "fixed").collect()}
     assert compat == {"Users": "accept", "Order Form": "reject"} and fixed == {"Users": "accept", "Order Form": "accept"}
 
 
@@ -44,28 +44,28 @@ def test_party_checks(spark, chunks):
         ("d", 0, 3, "Nordwind Ltd", "", src), ("d", 0, 4, "Nordwind Ltd", None, " "), ("d", 9, 5, "Nordwind Ltd", None, src),
         ("d", 0, 6, None, None, None), ("d", 0, 7, "Nordwind Ltd", None, "..."),
     ]
-    checked = validate.check("party", spark.createDataFrame(rows, PARTY), chunks)
+    checked = validate.check(extract.widen("party", spark.createDataFrame(rows, PARTY)), chunks)
     got = {r.item_index: (r.status, r.reason) for r in checked.collect()}
     assert got == {
         0: ("accept", None), 1: ("repair", validate.NO_DESIGNATION), 2: ("reject", validate.NO_NAME), 3: ("accept", None),
         4: ("reject", validate.UNSUPPORTED), 5: ("reject", validate.UNSUPPORTED), 6: ("reject", validate.UNSUPPORTED), 7: ("accept", None),
     }
-    kept = {r.item_index: r.designation for r in validate.accepted("party", checked).collect()}
+    kept = {r.item_index: r.designation for r in validate.accepted(checked).collect()}
     assert kept == {0: "Nord", 1: None, 3: "", 7: None}
-    issue = {r.item_index: r for r in validate.issues("party", checked).collect()}
+    issue = {r.item_index: r for r in validate.issues(checked).collect()}
     assert issue[1].item_type == "party_designation" and '"designation":"Buyer"' in issue[1].item and '"source_chunk_id":null' in issue[1].item
 
 
 def test_blank_and_order_of_checks(spark, chunks):
     rows = [("d", 0, 0, " ", " ", None), ("d", 0, 1, "x", " ", None), ("d", 0, 2, "x", "y", "not there"), ("d", 0, 3, "x", "y", "pay the fee")]
     df = spark.createDataFrame(rows, "doc_id string, chunk_id int, item_index int, party string, action string, source_text string")
-    reasons = {r.item_index: r.reason for r in validate.check("obligation", df, chunks).collect()}
+    reasons = {r.item_index: r.reason for r in validate.check(extract.widen("obligation", df), chunks).collect()}
     assert reasons == {0: validate.NO_OBLIGED, 1: validate.NO_DUTY, 2: validate.UNSUPPORTED, 3: None}
 
 
-def test_unknown_class(spark, chunks):
-    with pytest.raises(ValueError):
-        validate.check("clause", chunks, chunks)
+def test_other_kinds_are_left_out(spark, chunks):
+    df = extract.widen("party", spark.createDataFrame([("d", 0, 0, "x", None, "y")], PARTY)).withColumn("kind", F.lit("error"))
+    assert validate.check(df, chunks).count() == 0
 
 
 def test_dedupe(spark):
@@ -91,8 +91,8 @@ def test_contract(spark, chunks):
 
 
 def test_extract_chunk(chunks):
-    assert api.extract_chunk(chunks, 1)["party"].count() == 1 and api.extract_chunk(chunks, 7)["party"].count() == 0
-    assert api.extract_chunk(chunks, 0, validate=True)["defined_term"].count() == 1
+    assert api.extract_chunk(chunks, 1).where("kind = 'party'").count() == 1 and api.extract_chunk(chunks, 7).count() == 0
+    assert api.extract_chunk(chunks, 0, validate=True).where("kind = 'defined_term'").count() == 1
     with pytest.raises(ValueError):
         api.extract_chunk(chunks, -1)
 
@@ -112,13 +112,13 @@ def test_client_extractor(spark, chunks):
         return client
 
     found = extract.ClientExtractor(make).extract(chunks)
-    assert found["party"].count() == 2 and found["error"].first().message == "down" and found["right"].count() == 0
+    assert sorted((r.kind, r.source_text) for r in found.collect()) == [("error", "down")] + [("party", "Nordwind Ltd")] * 2
 
 
 def test_replay(chunks):
     found = extract.RuleExtractor().extract(chunks)
     again = extract.ReplayExtractor(found).extract(chunks.where("chunk_id = 1"))
-    assert again["party"].count() == 1
+    assert again.where("kind = 'party'").count() == 1
 
 
 def test_graph(spark, chunks):
@@ -148,6 +148,10 @@ def test_accepted_and_rejected_partition(spark, small):
     from deedloom.sources import derived
 
     c, chunks = catalog.candidates(spark, small), derived.sentence_chunks(spark, small)
+    checked = validate.check(extract.together(c), chunks)
     for kind, df in c.items():
-        got = validate.check(kind, df, chunks).groupBy("status").count().agg(F.sum("count")).first()[0]
-        assert got == df.count()
+        assert checked.where(F.col("kind") == kind).count() == df.count()
+
+
+def test_health(spark):
+    assert api.health(spark)["status"] == "ok"
