@@ -149,9 +149,13 @@ class Matcher:
 
     def match(self, value: str) -> int:
         """The nearest entry; on equal distance code before label before alias, then the smallest id; 0 for none."""
-        w = words(value)
-        best = min((hit for path in self.readings(w) for hit in self.trie.within(path, within(len(path)))), default=None)
-        return best[2] if best else 0
+        paths = list(self.readings(words(value)))
+        # growing distances: most values are near an entry, and the walk gets dearer with every step
+        for k in range(max((within(len(p)) for p in paths), default=-1) + 1):
+            hits = [hit for p in paths if k <= within(len(p)) for hit in self.trie.within(p, k)]
+            if hits:
+                return min(hits)[2]
+        return 0
 
     @staticmethod
     def readings(w: list[str]) -> Iterator[str]:
