@@ -349,8 +349,8 @@ def repairs(chunks: DataFrame) -> DataFrame:
     from deedloom.session import cut_lineage
 
     rows = chunks.select("filename", "chunk_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("headings", F.array().cast("array<string>")).alias("headings"))
-    counts = word_counts(rows)
-    cut = rows.where(is_cut(F.col("text")) & (F.col("text") != "")).dropDuplicates(["filename", "chunk_id"])
+    counts = cut_lineage(word_counts(rows))
+    cut = cut_lineage(rows.where(is_cut(F.col("text")) & (F.col("text") != "")).dropDuplicates(["filename", "chunk_id"]))
     parts = cut_lineage(take_apart(cut.join(running_counts(cut), ["filename", "chunk_id"])))
     lines = parts.where("kind in ('header', 'page_number')").select("filename", "chunk_id", "field", "kind", "word")
     words, broken = parts.where("kind = 'word'"), parts.where("kind = 'broken'")
