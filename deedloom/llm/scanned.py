@@ -284,17 +284,20 @@ def whole_forms(left: str, right: str) -> tuple[str, str]:
 
 def word_counts(chunks: DataFrame) -> DataFrame:
     """(word, n): how often words stand in texts that no scanner cut into lines."""
-    plain = F.regexp_replace(F.lower("text"), r"^\W+|\W+$", "")
-    words = chunks.where(~is_cut(F.col("text"))).select(F.explode(F.split(plain, r"[^\p{L}\p{N}]*\s+[^\p{L}\p{N}]*")).alias("word"))
-    return words.where(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.count("*").alias("n"))
+    spaced = F.split(F.translate(F.lower("text"), "\n\t\r\xa0", "    "), " ")  # one character: no regular expression
+    forms = chunks.where(~is_cut(F.col("text"))).select(F.explode(spaced).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
+    word = F.regexp_replace("form", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    return forms.select(word.alias("word"), "n").where(F.col("word").rlike(r"\p{L}")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def running_counts(cut: DataFrame) -> DataFrame:
     """(filename, chunk_id, repeats): for each line the number of chunks of the contract that have it too."""
     n_heads = F.size(F.split(F.array_join("headings", "\n"), "\n"))
     lines = cut.select("filename", "chunk_id", n_heads.alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    keyed = lines.select("filename", "chunk_id", "h", "pos", line_key(F.col("line")).alias("key"))
-    body = keyed.where("pos >= h and length(key) between 3 and 90")
+    # sentence ends and beginnings inside a sentence are body lines however often they recur
+    able = (F.col("pos") >= F.col("h")) & ~F.col("line").rlike(r"[.;:!?]\s*$|^\s*[\p{Ll}(;,]|^\s*$")
+    keyed = lines.select("filename", "chunk_id", "pos", F.when(able, line_key(F.col("line"))).alias("key"))
+    body = keyed.where("length(key) between 3 and 90")
     counts = (
         body.select("filename", "key", "chunk_id").distinct().groupBy("filename", "key").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATS)
     )
