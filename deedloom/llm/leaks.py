@@ -39,7 +39,7 @@ def words(text: str | None) -> list[str]:
     t = html.unescape(html.unescape(text)) if "&" in text else text
     if "<" in t or "[" in t:
         t = _BLOCK.sub(" ", _INLINE.sub("", t))
-    return [w.replace("'", "") for w in _WORD.findall(plain(t))]
+    return [w.replace("'", "") if "'" in w else w for w in _WORD.findall(t.lower() if t.isascii() else plain(t))]
 
 
 @dataclass
@@ -133,25 +133,49 @@ def held_out(items: DataFrame) -> Items:
     return Items.of(sorted(((r[0], r[1], r[2]) for r in rows), key=lambda r: r[0]))
 
 
-def document_frequencies(docs: DataFrame, text: str, items: Items) -> tuple[np.ndarray, int]:
+def encoded(docs: DataFrame, items: Items) -> DataFrame:
+    """(k, ids): every text (k, t) as the ids of its words in the items' vocabulary, -1 for others, four bytes each.
+
+    Texts are tokenised once and the ids written to the shared checkpoint folder; the three steps that follow read them.
+    Texts without any word of the items can hold none and are left out after being counted (a row without ids has their number).
+    """
+    from deedloom.session import cut_lineage
+
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        it, without = shared.value, 0
+        for batch in batches:
+            ids = [it.encode(t).astype(np.int32) for t in batch.column(1).to_pylist()]
+            keep = np.array([bool((x >= 0).any()) for x in ids], dtype=bool)
+            without += int((~keep).sum())
+            data = [x.tobytes() for x, k in zip(ids, keep) if k]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).filter(pa.array(keep)), pa.array(data, pa.binary()), pa.array([0] * len(data), pa.int64())], names=["k", "ids", "without"]
+            )
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, key), pa.array([b""], pa.binary()), pa.array([without], pa.int64())], names=["k", "ids", "without"])
+
+    kind = dict(docs.dtypes)["k"]
+    key = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    return cut_lineage(docs.select("k", "t").mapInArrow(run, f"k {kind}, ids binary, without bigint"))
+
+
+def document_frequencies(ids: DataFrame, items: Items) -> tuple[np.ndarray, int]:
     """In how many of all texts each word of the items stands, and the number of texts. One row per word and partition
     is shuffled, whatever the number of texts."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    size = len(items.vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it, n = shared.value, 0
-        df = np.zeros(len(it.vocabulary), dtype=np.int64)
+        df, n = np.zeros(size, dtype=np.int64), 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                doc = it.encode(t)
+            for raw, without in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                doc = np.frombuffer(raw, dtype=np.int32)
                 df[np.unique(doc[doc >= 0])] += 1
-                n += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(-1, len(df)), pa.int64()), pa.array(np.r_[n, df], pa.int64())], names=["term", "n"]
-        )
+                n += without + (len(doc) > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, size), pa.int64()), pa.array(np.r_[n, df], pa.int64())], names=["term", "n"])
 
-    found = docs.select(text).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, n = np.zeros(len(items.vocabulary)), 0
+    found = ids.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df, n = np.zeros(size), 0
     for term, k in found:
         if term < 0:
             n = k
@@ -160,27 +184,27 @@ def document_frequencies(docs: DataFrame, text: str, items: Items) -> tuple[np.n
     return df, n
 
 
-def latent_space(docs: DataFrame, text: str, items: Items, seed: int = 7) -> Space:
+def latent_space(ids: DataFrame, items: Items, seed: int = 7) -> Space:
     """Randomised SVD of the TF-IDF passages of all texts, over the words of the items.
 
     Each partition multiplies its passages with a random matrix and back; the sums (words x vectors, bounded by the
     items' vocabulary) give the leading right singular vectors. The items' own passages are added with a weight, lest a
     large corpus drown them.
     """
-    df, n = document_frequencies(docs, text, items)
+    df, n = document_frequencies(ids, items)
     idf = np.log((n + 1.0) / (df + 1.0)) + 0.05
     v = len(idf)
     width = min(RANK + BEYOND, v)
     omega = np.random.default_rng(seed).standard_normal((v, width))
-    shared = docs.sparkSession.sparkContext.broadcast((items, idf, omega))
+    shared = ids.sparkSession.sparkContext.broadcast((idf, omega))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it, weight, random = shared.value
+        weight, random = shared.value
         y = np.zeros_like(random)
         n = 0
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                doc = it.encode(t)
+            for raw in batch.column(1).to_pylist():
+                doc = np.frombuffer(raw, dtype=np.int32)
                 for s in range(0, len(doc), PASSAGE):
                     p = doc[s : s + PASSAGE]
                     n += add_passage(y, p[p >= 0], weight, random)
@@ -189,7 +213,7 @@ def latent_space(docs: DataFrame, text: str, items: Items, seed: int = 7) -> Spa
         yield pa.RecordBatch.from_arrays(columns, names=["term", *[f"y{j}" for j in range(y.shape[1])]])
 
     schema = "term bigint" + "".join(f", y{j} double" for j in range(width))
-    sums = docs.select(text).mapInArrow(run, schema).groupBy("term").agg(*[F.sum(f"y{j}").alias(f"y{j}") for j in range(width)]).collect()
+    sums = ids.mapInArrow(run, schema).groupBy("term").agg(*[F.sum(f"y{j}").alias(f"y{j}") for j in range(width)]).collect()
     y, passages = np.zeros((v, width)), 0
     for row in sums:
         if row[0] < 0:
@@ -225,26 +249,26 @@ def add_passage(y: np.ndarray, p: np.ndarray, weight: np.ndarray, random: np.nda
 def leaks(docs: DataFrame, items: DataFrame, key: str, text: str, paraphrases: bool = False) -> DataFrame:
     """(key, item_id, coverage, lcs, answer): texts that hold an item, by latent retrieval and exact check.
 
-    The texts are read three times and never shuffled: word frequencies, singular vectors, retrieval with check. With
-    ``paraphrases`` also candidates that have most of the item only as a common subsequence, along with the words of
-    its question; without, those two columns are null. Null texts hold nothing; an item shorter than a stretch can't be
-    found. Repeated keys give repeated rows.
+    Texts are tokenised once and never shuffled: word frequencies, singular vectors, and retrieval with check follow from
+    their word ids. With ``paraphrases`` also candidates that have most of the item only as a common subsequence, along
+    with the words of its question; without, those two columns are null. Null texts hold nothing; an item shorter than a
+    stretch can't be found. Repeated keys give repeated rows.
     """
     known = held_out(items)
     kind = dict(docs.dtypes)[key]
     schema = f"k {kind}, item_id bigint, coverage double, lcs double, answer double"
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     if not known.ids:
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("k", key)
-    space = latent_space(rows, "t", known)
+    ids = encoded(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), known)
+    space = latent_space(ids, known)
     shared = docs.sparkSession.sparkContext.broadcast((known, space))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         it, lsi = shared.value
         for b in batches:
             out = []
-            for k, t in zip(b.k, b.t):
-                doc = it.encode(t)
+            for k, raw in zip(b.k, b.ids):
+                doc = np.frombuffer(raw, dtype=np.int32)
                 near = lsi.candidates(doc)
                 if not near:
                     continue
@@ -261,4 +285,4 @@ def leaks(docs: DataFrame, items: DataFrame, key: str, text: str, paraphrases: b
                             out.append((k, it.ids[n], found.get(n, 0.0), common, answer))
             yield pd.DataFrame(out, columns=["k", "item_id", "coverage", "lcs", "answer"]).astype({"item_id": "int64", "coverage": float, "lcs": float, "answer": float})
 
-    return rows.mapInPandas(run, schema).withColumnRenamed("k", key)
+    return ids.where("length(ids) > 0").select("k", "ids").mapInPandas(run, schema).withColumnRenamed("k", key)

@@ -77,7 +77,7 @@ def test_recall_of_retrieval_on_the_tables(spark, small):
 def test_latent_space_is_close_to_the_exact_one(spark):
     docs, items = frames(spark, [(i, A if i % 2 else B) for i in range(20)])
     known = leaks.held_out(items)
-    space = leaks.latent_space(docs, "text", known)
+    space = leaks.latent_space(leaks.encoded(docs.selectExpr("doc_id as k", "text as t"), known), known)
     for n, t in enumerate(known.texts):
         assert n in space.candidates(t)
     assert np.allclose(np.linalg.norm(space.items, axis=1), 1)
