@@ -113,13 +113,32 @@ def keyed(records: DataFrame) -> DataFrame:
     return records.select("term_id", "filename", "term", "definition", "source_text").mapInPandas(run, schema)
 
 
+def _chosen(pairs: DataFrame) -> DataFrame:
+    """(filename, tk, dk, gt, gd): of the anchors that a loose key met and agrees with, the nearest by term and then the
+    fullest. A key without definition gets one only if its nearest term has one meaning."""
+    agrees = F.pandas_udf(lambda a, b: pd.Series([not x or same_meaning(x, y) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
+    per_gap = (
+        pairs.where(agrees("dk", "gd"))
+        .groupBy("filename", "tk", "dk", "gap")
+        .agg(F.count("*").alias("n"), F.min(F.struct(-F.length("gd"), F.col("gt"), F.col("gd"))).alias("p"))
+    )
+    nearest = per_gap.groupBy("filename", "tk", "dk").agg(F.min_by(F.struct("n", "p"), "gap").alias("x"))
+    chosen = nearest.where((F.col("dk") != "") | (F.col("x.n") == 1))
+    return chosen.select("filename", "tk", "dk", F.col("x.p.gt").alias("gt"), F.col("x.p.gd").alias("gd"))
+
+
 def _links(loose: DataFrame, anchors: DataFrame) -> DataFrame:
     """(filename, tk, dk, gt, gd): for loose keys the anchor (filename, gt, gd) each belongs to, where there is one.
 
-    Terms meet through their deletion neighbourhoods, distinct terms only, so neither copies nor hot contracts make
-    pairs; definitions are compared for terms that met. A key without definition belongs to the nearest term if that
-    has one meaning only.
+    Keys meet anchors of the same term first. What is left meets terms one slip away through deletion neighbourhoods, of
+    distinct terms in contracts that have something left, so neither copies nor hot contracts make pairs; definitions are
+    compared for terms that met.
     """
+    from deedloom.session import cut_lineage
+
+    same = loose.join(anchors.withColumn("tk", F.col("gt")), ["filename", "tk"]).withColumn("gap", F.lit(0))
+    exact = cut_lineage(_chosen(same))
+    left = loose.join(exact, ["filename", "tk", "dk"], "left_anti")
     near_terms = F.pandas_udf(lambda s: s.map(deletions), T.ArrayType(T.StringType()))
 
     def terms(df: DataFrame, c: str) -> DataFrame:
@@ -128,21 +147,15 @@ def _links(loose: DataFrame, anchors: DataFrame) -> DataFrame:
     def gap(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([distance(x, y, 2) for x, y in zip(a, b)], dtype="int32")
 
-    met = terms(loose, "tk").join(terms(anchors, "gt"), ["filename", "v"]).select("filename", "tk", "gt").distinct()
+    there = anchors.join(left.select("filename").distinct(), "filename", "left_semi")
+    met = terms(left, "tk").join(terms(there, "gt"), ["filename", "v"]).select("filename", "tk", "gt").distinct()
     met = met.withColumn("gap", F.pandas_udf(gap, T.IntegerType())("tk", "gt"))
     met = met.where((F.col("gap") == 0) | ((F.col("gap") <= 2) & (F.length("tk") >= 8)))
     # a term that is sure elsewhere is a term, not a slip of a similar one; only a definition can tell otherwise
     known = anchors.select(F.col("gt").alias("tk")).distinct().withColumn("known", F.lit(True))
-    met = met.join(known, "tk", "left")
-    agrees = F.pandas_udf(lambda a, b: pd.Series([not x or same_meaning(x, y) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
-    pairs = loose.join(met, ["filename", "tk"]).join(anchors, ["filename", "gt"]).where(agrees("dk", "gd"))
+    pairs = left.join(met, ["filename", "tk"]).join(there, ["filename", "gt"]).join(known, "tk", "left")
     pairs = pairs.where((F.col("dk") != "") | (F.col("gap") == 0) | F.col("known").isNull())
-    per_gap = pairs.groupBy("filename", "tk", "dk", "gap").agg(
-        F.count("*").alias("n"), F.min(F.struct(-F.length("gd"), F.col("gt"), F.col("gd"))).alias("p")
-    )
-    nearest = per_gap.groupBy("filename", "tk", "dk").agg(F.min_by(F.struct("n", "p"), "gap").alias("x"))
-    chosen = nearest.where((F.col("dk") != "") | (F.col("x.n") == 1))
-    return chosen.select("filename", "tk", "dk", F.col("x.p.gt").alias("gt"), F.col("x.p.gd").alias("gd"))
+    return exact.unionByName(_chosen(pairs))
 
 
 def grouped(records: DataFrame) -> DataFrame:
