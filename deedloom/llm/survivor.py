@@ -138,7 +138,7 @@ def _links(loose: DataFrame, anchors: DataFrame) -> DataFrame:
 
     same = loose.join(anchors.withColumn("tk", F.col("gt")), ["filename", "tk"]).withColumn("gap", F.lit(0))
     exact = cut_lineage(_chosen(same))
-    left = loose.join(exact, ["filename", "tk", "dk"], "left_anti")
+    left = cut_lineage(loose.join(exact, ["filename", "tk", "dk"], "left_anti"))
     near_terms = F.pandas_udf(lambda s: s.map(deletions), T.ArrayType(T.StringType()))
 
     def terms(df: DataFrame, c: str) -> DataFrame:
@@ -166,11 +166,10 @@ def grouped(records: DataFrame) -> DataFrame:
     anchors = k.where("sure").select("filename", F.col("tk").alias("gt"), F.col("dk").alias("gd")).distinct()
     loose = k.where("not sure").select("filename", "tk", "dk").distinct()
     first = cut_lineage(_links(loose, anchors))
-    rest = loose.join(first, ["filename", "tk", "dk"], "left_anti")
+    rest = cut_lineage(loose.join(first, ["filename", "tk", "dk"], "left_anti"))
     # what has no source sentence anywhere in its group: the fullest of these keys stand for the others
     own = rest.where("dk <> ''").select("filename", F.col("tk").alias("gt"), F.col("dk").alias("gd"))
-    second = _links(rest, own)
-    links = first.unionByName(second)
+    links = first.unionByName(cut_lineage(_links(rest, own)))
     return (
         k.join(links.withColumn("sure", F.lit(False)), ["filename", "tk", "dk", "sure"], "left")
         .select("term_id", "filename", F.coalesce("gt", "tk").alias("gt"), F.coalesce("gd", "dk").alias("gd"))
