@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deedloom.llm import bpe, canon, leaks, lookalike, pieces, scanned, stuffing, survivor
+from deedloom.llm import bpe, canon, chars, leaks, lookalike, pieces, scanned, stuffing, survivor
+from deedloom.plans import oracle as sql
 from deedloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +43,22 @@ def p1_unmatched(spark, d):
     return canon.unmatched_report(_typed(spark, d), "reference_type")
 
 
-@query("p3_found")
+def _seen(x: str) -> str:
+    """What a reader sees of a text, in SQL, as far as the given data need it."""
+    q = lambda t: t.replace("'", "''")
+    visible = f"translate({x}, '{chars.INVISIBLE}', '')"
+    marks = {**chars.LOOKALIKES, **chars.PUNCTUATION}
+    latin = f"translate({sql.compat(visible)}, '{q(''.join(marks))}', '{q(''.join(marks.values()))}')"
+    return f"trim(regexp_replace(nfc_normalize({latin}), '{sql.WS}+', ' ', 'g'))"
+
+
+@query(
+    "p3_found",
+    f"""SELECT DISTINCT obligation_id, o.filename, o.source_chunk_id AS chunk_id FROM (
+      SELECT *, {_seen("source_text")} AS s FROM obligations WHERE source_chunk_id IS NOT NULL) o
+    JOIN (SELECT filename, chunk_id, text, {_seen("text")} AS t FROM chunks) c ON c.filename = o.filename AND c.chunk_id = o.source_chunk_id
+    WHERE NOT contains(text, source_text) AND s <> '' AND contains(t, s)""",
+)
 def p3_found(spark, d):
     o = table(spark, d, "obligations", "obligation_id", "filename", F.col("source_chunk_id").alias("chunk_id"), "source_text")
     c = table(spark, d, "chunks", "filename", "chunk_id", "text")
