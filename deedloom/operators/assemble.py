@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deedloom.functions.text import py_strip
@@ -45,6 +45,11 @@ def fact_union(accepted: DataFrame) -> DataFrame:
     return accepted.select("doc_id", "chunk_id", F.col("kind").alias("item_type"), "item_index", "source_text", as_json().alias("item"))
 
 
+def attach_chunk_id(items: Column, chunk_id: Column) -> Column:
+    """An array of item structs, each with ``source_chunk_id``; null stays null."""
+    return F.transform(items, lambda x: x.withField("source_chunk_id", chunk_id))
+
+
 def evidence_lookup(facts: DataFrame, chunks: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Fact to chunk to provenance entries: one row per fact and entry of its source chunk."""
     prov = chunks.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deedloom.functions.text import py_strip
@@ -65,3 +65,17 @@ def canonical_metadata(metadata: Column, content: Column) -> Column:
         F.coalesce(metadata, F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull() & (k != "sha256")
     )
     return F.map_concat(kept, F.create_map(F.lit("sha256"), F.sha2(content.cast("binary"), 256)))
+
+
+def reading_order(blocks: DataFrame) -> DataFrame:
+    """Blocks renumbered from 0 within their page from top to bottom, then left to right, for parsers that don't sort."""
+    w = Window.partitionBy("doc_id", "page_number").orderBy("bbox.y0", "bbox.x0", "block_index")
+    return blocks.withColumn("block_index", F.row_number().over(w) - 1)
+
+
+def dump(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_number, text, json): each page's text and its blocks as JSON, in order."""
+    row = F.struct("block_index", "block_type", "bbox", "text")
+    page = blocks.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(row)).alias("b"))
+    lines = F.filter(F.col("b.text"), lambda t: t != "")
+    return page.select("doc_id", "page_number", F.array_join(lines, "\n").alias("text"), F.to_json("b").alias("json"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deedloom.operators.orphans import bare_locator, section_numbers
+
 # Edge labels with their end types.
 EDGES = (
     ("Obligation", "IMPOSES_ON", "Party"),
@@ -60,3 +62,19 @@ def edges(accepted: DataFrame) -> DataFrame:
     ]
     edge = F.coalesce(*[F.when(fits, value) for fits, value in rules])
     return accepted.select("doc_id", edge.alias("e")).select("doc_id", "e.*").where("dst is not null").distinct()
+
+
+def clause_references(refs: DataFrame, sections: DataFrame) -> DataFrame:
+    """(doc_id, src_type, src, label, dst_type, dst): REFERENCES edges between clauses of one document (an extension).
+
+    ``refs`` (doc_id, chunk_id, target) name sections of their own document; the source is every section that has the
+    reference's chunk, the destination the section with the number named. ``sections`` has (doc_id, locator, chunk_ids).
+    References to sections that don't exist give no edge.
+    """
+    named = refs.select("doc_id", "chunk_id", F.explode(section_numbers(F.col("target"))).alias("dst")).distinct()
+    own = sections.where("locator is not null").select("doc_id", bare_locator(F.col("locator")).alias("locator"), "chunk_ids")
+    source = own.select("doc_id", F.col("locator").alias("src"), F.explode("chunk_ids").alias("chunk_id")).distinct()
+    there = own.select("doc_id", F.col("locator").alias("dst")).distinct()
+    met = named.join(source, ["doc_id", "chunk_id"]).select("doc_id", "src", "dst").distinct().join(there, ["doc_id", "dst"], "left_semi")
+    clause = F.lit("Clause")
+    return met.select("doc_id", clause.alias("src_type"), "src", F.lit("REFERENCES").alias("label"), clause.alias("dst_type"), "dst")

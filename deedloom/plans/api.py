@@ -50,6 +50,13 @@ def extract_chunk(chunks: DataFrame, chunk_index: int = 0, extractor: Extractor
     return found.where("kind <> 'error'").withColumn("source_chunk_id", F.col("chunk_id"))
 
 
+def out_of_bounds(chunks: DataFrame, chunk_index: int) -> DataFrame:
+    """(doc_id, error): documents for which ``chunk_index`` lies beyond the last chunk."""
+    last = chunks.groupBy("doc_id").agg(F.max("chunk_id").alias("last")).where(F.col("last") < chunk_index)
+    message = F.format_string(f"chunk_index {chunk_index} is out of range: the document has %d chunks.", F.col("last") + 1)
+    return last.select("doc_id", message.alias("error"))
+
+
 def extract_contract(
     docs: DataFrame,
     chunks: DataFrame,

@@ -11,7 +11,7 @@ from deedloom.functions import text as tx
 from deedloom.functions.unicode import evidence
 from deedloom.operators import assemble, blocks, extract, graph, grounding, nested, orphans, segment, structure, validate
 from deedloom.plans import oracle as sql
-from deedloom.plans.api import extract_chunk, extract_contract
+from deedloom.plans.api import extract_chunk, extract_contract, out_of_bounds
 from deedloom.sources import cache, derived, files
 from deedloom.sources.tables import first_load, table
 
@@ -154,6 +154,17 @@ def span_flatten(spark, d):
     return s.select("doc_id", "page_number", "block_index", "k", "s.text", (F.col("s.size") * 2).cast("int").alias("double_size"), "s.flags")
 
 
+@query("reading_order", sql.READING_ORDER)
+def reading_order(spark, d):
+    b = blocks.reading_order(blocks.canonical_blocks(derived.raw_pages(spark, d)))
+    return b.select("doc_id", "page_number", "block_index", F.col("bbox.y0").cast("int").alias("y0"), "block_type")
+
+
+@query("page_dump", sql.PAGE_DUMP)
+def page_dump(spark, d):
+    return blocks.dump(blocks.canonical_blocks(derived.raw_pages(spark, d))).select("doc_id", "page_number", F.md5("text").alias("md5"))
+
+
 @query("doc_metadata_map", sql.METADATA)
 def doc_metadata_map(spark, d):
     docs = table(spark, d, "documents", "doc_id", "text", "lang", "source", "n_chars")
@@ -462,6 +473,18 @@ def graph_edges(spark, d):
     return graph.edges(_graph_facts(spark, d))
 
 
+@query("clause_reference_edges", sql.CLAUSE_REFERENCES)
+def clause_reference_edges(spark, d):
+    refs = table(spark, d, "contract_references", F.col("filename").alias("doc_id"), F.col("source_chunk_id").alias("chunk_id"), "target")
+    sections = table(spark, d, "document_sections", F.col("filename").alias("doc_id"), "locator", "chunk_ids")
+    return graph.clause_references(refs, sections)
+
+
+@query("chunk_bounds", sql.CHUNK_BOUNDS)
+def chunk_bounds(spark, d):
+    return out_of_bounds(contract_chunks(spark, d), 20)
+
+
 @query("contract_representation", sql.REPRESENTATION)
 def contract_representation(spark, d):
     lines = derived.sentence_chunks(spark, d)

@@ -98,6 +98,11 @@ BLOCK_SCAN = f"""WITH {_RAW_SPANS} SELECT doc_id, page_number, CAST(nth AS INT)
 SPAN_FLATTEN = f"""WITH {_RAW_SPANS} SELECT doc_id, page_number, CAST(nth AS INT) AS block_index, CAST(k - 1 AS INT) AS k,
   CASE WHEN (k - 1) % 7 <> 6 THEN word ELSE '' END AS text, 19 AS double_size, 4 AS flags FROM (
   SELECT *, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM canon WHERE kind = 'text')"""
+READING_ORDER = f"""WITH {_RAW_SPANS}, y AS (SELECT *, CAST(CASE WHEN i % 11 <> 10 THEN i ELSE 0 END AS INT) AS y0 FROM canon)
+  SELECT doc_id, page_number, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY y0, nth) - 1 AS INT) AS block_index, y0,
+  kind AS block_type FROM y"""
+PAGE_DUMP = f"""WITH b AS ({BLOCK_SCAN}) SELECT doc_id, page_number,
+  md5(coalesce(string_agg(text, chr(10) ORDER BY block_index) FILTER (text <> ''), '')) AS md5 FROM b GROUP BY ALL"""
 METADATA = """SELECT doc_id, 'lang' AS key, lang AS value FROM documents WHERE lang IS NOT NULL
   UNION ALL SELECT doc_id, 'source', source FROM documents WHERE source IS NOT NULL
   UNION ALL SELECT doc_id, 'n_chars', n_chars::VARCHAR FROM documents WHERE n_chars IS NOT NULL
@@ -426,3 +431,14 @@ SELECT raw_id, path AS item_path, unnest(CASE json_type(item, '$.prov') WHEN 'OB
   WHEN 'ARRAY' THEN CASE WHEN json_array_length(item, '$.prov') = 0 THEN [-1]
                          ELSE list_transform(range(CAST(json_array_length(item, '$.prov') AS BIGINT)), lambda k: k::INT) END
   ELSE [-1] END) AS prov_no FROM items WHERE json_type(item) = 'OBJECT'"""
+
+
+CLAUSE_REFERENCES = f"""WITH n AS (
+  SELECT filename AS doc_id, source_chunk_id AS chunk_id, unnest([regexp_extract({collapse("target")}, '{_TARGET}', 1), regexp_extract({collapse("target")}, '{_TARGET}', 2)]) AS dst
+  FROM contract_references WHERE regexp_matches({collapse("target")}, '{_TARGET}')),
+l AS (SELECT filename AS doc_id, regexp_replace({strip("locator")}, '[.]$', '') AS locator, chunk_ids FROM document_sections WHERE locator IS NOT NULL),
+s AS (SELECT doc_id, locator AS src, unnest(chunk_ids) AS chunk_id FROM l)
+SELECT DISTINCT doc_id, 'Clause' AS src_type, src, 'REFERENCES' AS label, 'Clause' AS dst_type, dst
+FROM n JOIN s USING (doc_id, chunk_id) WHERE dst <> '' AND EXISTS (SELECT 1 FROM l WHERE l.doc_id = n.doc_id AND l.locator = n.dst)"""
+CHUNK_BOUNDS = """SELECT filename AS doc_id, 'chunk_index 20 is out of range: the document has ' || (max(chunk_id) + 1) || ' chunks.' AS error
+  FROM chunks GROUP BY filename HAVING max(chunk_id) < 20"""

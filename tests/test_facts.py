@@ -97,6 +97,19 @@ def test_extract_chunk(chunks):
         api.extract_chunk(chunks, -1)
 
 
+def test_bounds_and_attached_ids(spark, chunks):
+    assert {r.doc_id for r in api.out_of_bounds(chunks, 1).collect()} == {"e"}
+    df = spark.createDataFrame([(7, [("a",)]), (8, None)], "c int, x array<struct<t:string>>")
+    got = df.select(assemble.attach_chunk_id(F.col("x"), F.col("c"))).collect()
+    assert got[0][0][0].source_chunk_id == 7 and got[1][0] is None
+
+
+def test_clause_references(spark):
+    refs = spark.createDataFrame([("d", 0, "Sections 2 and 9"), ("d", 5, "Section 2"), ("d", None, "2"), ("e", 0, "Section 2"), ("d", 0, None)], "doc_id string, chunk_id int, target string")
+    sections = spark.createDataFrame([("d", "1.", [0, 1]), ("d", " 2", [2]), ("d", None, [5]), ("e", "1", None)], "doc_id string, locator string, chunk_ids array<int>")
+    assert [(r.doc_id, r.src, r.dst) for r in graph.clause_references(refs, sections).collect()] == [("d", "1", "2")]
+
+
 def test_client_extractor(spark, chunks):
     def make():
         calls = {}
