@@ -335,7 +335,9 @@ def known_words(asked: DataFrame, counts: DataFrame) -> DataFrame:
     sure = seen.join(counts, "word").select("word", F.col("word").alias("right"), "n")
     odd = seen.join(counts, "word", "left_anti")
     make = F.pandas_udf(lambda s: s.map(variants), T.ArrayType(T.StringType()))
-    tried = odd.repartition(64, "word").select("word", "m", F.explode(make("word")).alias("v"))
+    spark = asked.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism * 4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tried = odd.repartition(tasks, "word").select("word", "m", F.explode(make("word")).alias("v"))
     tried = tried.select("word", "m", F.substring("v", 1, 1).cast("int").alias("steps"), F.expr("substring(v, 2)").alias("right"))
     pool = counts.withColumn("known", F.lit(1)).unionByName(odd.where("m >= 4").select("word", F.col("m").alias("n"), F.lit(0).alias("known")))
     met = tried.join(pool.withColumnRenamed("word", "right"), "right").where("known = 1 or n >= 4 * m")
