@@ -105,6 +105,11 @@ def p2_found(spark, d):
     return scanned.repairs(table(spark, d, "chunks", "filename", "chunk_id", "text", "headings"))
 
 
+@query("p2_text")
+def p2_text(spark, d):
+    return scanned.repaired(table(spark, d, "chunks", "filename", "chunk_id", "text", "headings"))
+
+
 def _documents(spark, d):
     return table(spark, d, "documents", "doc_id", "text")
 

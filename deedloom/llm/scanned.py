@@ -3,9 +3,11 @@ paragraphs are put together again, broken words joined and misread words set rig
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,6 +41,7 @@ PAGE_NUMBER = re.compile(
 BARE_NUMBER = re.compile(r"^(?:\d{1,5}|[ivxl]{1,7})$", re.I)
 NUMBERED = re.compile(r"^\d+(?:\.\d+)*\.?\s+\S")
 BREAK = re.compile(rf"(\w[\w'’.-]*)[{HYPHENS}]\s*$")
+STRIP_END = " \t\"'”’»)]"
 STRIP = " \t\r\n.,;:!?()[]{}<>\"'“”‘’«»„…*_|/\\–—"
 
 
@@ -197,6 +200,14 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def broken_word(line: str, follow: str) -> tuple[int, str, str] | None:
+    """(where it begins, left, right) of a word that is broken at the line's end and goes on in the next."""
+    m, first = BREAK.search(line), re.match(r"\S+", follow)
+    if m and first and first[0][0].isalpha() and (first[0][0].islower() or line.rstrip()[-1] == "-" and m[1][-1:].isupper()):
+        return m.start(), m[0].strip()[:-1], first[0]
+    return None
+
+
 def joined_words(lines: list[str]) -> tuple[str, list[tuple[str, str]]]:
     """(the lines as one text without the broken words, the broken words as (left, right))."""
     out, broken = [], []
@@ -204,13 +215,13 @@ def joined_words(lines: list[str]) -> tuple[str, list[tuple[str, str]]]:
     k = 0
     carry = todo[0] if todo else ""
     while k < len(todo):
-        m = BREAK.search(carry)
         follow = todo[k + 1].lstrip() if k + 1 < len(todo) else ""
-        first = re.match(r"\S+", follow)
-        if m and first and first[0][0].isalpha() and (first[0][0].islower() or carry.rstrip()[-1] == "-" and m[1][-1:].isupper()):
-            broken.append((m[0].strip()[:-1], first[0]))
-            out.append(carry[: m.start()])
-            carry = follow[first.end() :]
+        word = broken_word(carry, follow)
+        if word:
+            start, left, right = word
+            broken.append((left, right))
+            out.append(carry[:start])
+            carry = follow[len(right) :]
         else:
             out.append(carry)
             carry = follow
@@ -218,14 +229,53 @@ def joined_words(lines: list[str]) -> tuple[str, list[tuple[str, str]]]:
     return "\n".join(out), broken
 
 
+#: A piece of a paragraph: text as it stands, or a broken word as [left, right].
+Piece = str | list[str]
+
+
+def reassembled(lines: list[str], wrapped: bool) -> list[list[Piece]]:
+    """Body lines as paragraphs. A line goes on in the next one if its last word is broken, or if the next word would no
+    longer have fitted, or in lower case behind no sentence's end; lines that no scanner wrapped stay by themselves.
+
+    Where a full line ends a sentence, nothing shows whether the paragraph ends too; it is taken to go on.
+    """
+    todo = [x.strip() for x in lines if x.strip()]
+    width = max(map(len, todo), default=0)
+    out: list[list[Piece]] = []
+    new, carry, size = True, todo[0] if todo else "", len(todo[0]) if todo else 0
+    for k in range(len(todo)):
+        follow = todo[k + 1] if k + 1 < len(todo) else ""
+        if new:
+            out.append([])
+        elif carry and isinstance(out[-1][-1], str):
+            out[-1].append(" ")
+        word = broken_word(carry, follow)
+        if word:
+            start, left, right = word
+            out[-1] += [carry[:start], [left, right]]
+            new, carry = False, follow[len(right) :]
+        else:
+            out[-1].append(carry)
+            first = follow.split(" ", 1)[0]
+            fits = size + 1 + len(first) <= width - 1
+            ended = bool(carry) and carry.rstrip(STRIP_END)[-1:] in tuple(".;:!?．。；：")
+            new = not wrapped or fits and (ended or not follow[:1].islower())
+            carry = follow
+        size = len(follow)
+    return [[x for x in p if x] for p in out]
+
+
 @dataclass
 class Repair:
-    """What one chunk's lines give: running lines and page numbers, words to check, broken words."""
+    """What one chunk's lines give: running lines and page numbers, words to check, broken words, the body's lines and
+    what they and the headings are put together from."""
 
     rows: list[tuple[str, str, str]]
     words: dict[str, set[str]]
     broken: dict[str, set[tuple[str, str]]]
     paragraphs: list[str]
+    headings: list[list[Piece]]
+    text: list[list[Piece]]
 
 
 def read_chunk(text: str, headings: list[str], repeats: list[int]) -> Repair:
@@ -236,11 +286,14 @@ def read_chunk(text: str, headings: list[str], repeats: list[int]) -> Repair:
     rows: list[tuple[str, str, str]] = []
     words: dict[str, set[str]] = {"text": set(), "headings": set()}
     broken: dict[str, set[tuple[str, str]]] = {"text": set(), "headings": set()}
+    titles: list[list[Piece]] = []
     for h in heads:
         if running_heading(h):
             rows += [("headings", "header", h.strip())] + ([("text", "header", h.strip())] if n else [])
         else:
             rest, cut = joined_words(h.split("\n"))
+            pieces = reassembled(h.split("\n"), True)
+            titles.append([x for k, p in enumerate(pieces) for x in ([" ", *p] if k else p)])
             for field in ("headings", "text") if n else ("headings",):
                 words[field] |= set(tokens(rest))
                 broken[field] |= set(cut)
@@ -254,7 +307,8 @@ def read_chunk(text: str, headings: list[str], repeats: list[int]) -> Repair:
     rest, cut = joined_words(kept)
     words["text"] |= set(tokens(rest))
     broken["text"] |= set(cut)
-    return Repair(rows, words, broken, kept)
+    wrapped = evidence_of_wrapping([x for x in lines if x.label in "BE"])
+    return Repair(rows, words, broken, kept, titles, (titles if n else []) + reassembled(kept, wrapped))
 
 
 def variants(word: str) -> list[str]:
@@ -282,6 +336,46 @@ def whole_forms(left: str, right: str) -> tuple[str, str]:
     return clean(left + right), clean(f"{left}-{right}")
 
 
+def recased(seen: str, right: str) -> str:
+    """The right word, which is in lower case, in capitals where the seen one has them."""
+    if seen.lower() == right:
+        return seen
+    out = []
+    for op, a, b, c, d in SequenceMatcher(None, seen.lower(), right, autojunk=False).get_opcodes():
+        part = right[c:d]
+        if op == "equal" and len(seen.lower()) == len(seen):
+            part = seen[a:b]
+        elif seen.isupper() and sum(map(str.isalpha, seen)) > 1:
+            part = part.upper()
+        elif c == 0 and seen[:1].isupper():
+            part = part[:1].upper() + part[1:]
+        out.append(part)
+    return "".join(out)
+
+
+def put_right(pieces: list[Piece], right: dict[str, str], whole: dict[str, str]) -> str:
+    """Pieces as text: misread words by ``right``, broken ones by ``whole`` (by their form with the hyphen), as they
+    stand, closed up, where neither knows them."""
+    out = []
+    for piece in pieces:
+        if isinstance(piece, str):
+            words, known = re.split(r"(\s+)", piece), right
+        else:
+            form = whole_forms(*piece)[1]
+            closed = "".join(piece)
+            hyphened = (whole.get(form) or "").count("-") > closed.strip(STRIP).count("-")
+            words = ["-".join(piece) if hyphened else closed]
+            known = {words[0].strip(STRIP).lower(): whole.get(form)}
+        for w in words:
+            core = w.strip(STRIP)
+            new = known.get(core.lower()) if core else None
+            if new:
+                at = w.index(core)
+                w = w[:at] + recased(core, new) + w[at + len(core) :]
+            out.append(w)
+    return "".join(out)
+
+
 def word_counts(chunks: DataFrame) -> DataFrame:
     """(word, n): how often words stand in texts that no scanner cut into lines."""
     spaced = F.split(F.translate(F.lower("text"), "\n\t\r\xa0", "    "), " ")  # one character: no regular expression
@@ -305,9 +399,10 @@ def running_counts(cut: DataFrame) -> DataFrame:
     return met.groupBy("filename", "chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]).alias("repeats"))
 
 
-def take_apart(cut: DataFrame) -> DataFrame:
+def take_apart(cut: DataFrame, layout: bool = False) -> DataFrame:
     """(filename, chunk_id, field, kind, word, a, b): running lines and page numbers as they are, words to check (kind
-    ``word``) and broken words (kind ``broken``: closed form, left and right piece) of every chunk."""
+    ``word``) and broken words (kind ``broken``: closed form, left and right piece) of every chunk. With ``layout``, a
+    row of kind ``layout`` per chunk, too, whose word is the JSON of the pieces that headings and text consist of."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -315,6 +410,8 @@ def take_apart(cut: DataFrame) -> DataFrame:
             for f, c, text, heads, repeats in batch.itertuples(index=False):
                 r = read_chunk(text, list(heads) if heads is not None else [], list(repeats))
                 out += [(f, c, field, kind, w, None, None) for field, kind, w in dict.fromkeys(r.rows)]
+                if layout:
+                    out.append((f, c, None, "layout", json.dumps([r.headings, r.text]), None, None))
                 for field in ("text", "headings"):
                     out += [(f, c, field, "word", w, None, None) for w in r.words[field]]
                     for left, right in r.broken[field]:
@@ -345,31 +442,71 @@ def known_words(asked: DataFrame, counts: DataFrame) -> DataFrame:
     return sure.unionByName(best.select("word", "p.right", "p.n"))
 
 
-def repairs(chunks: DataFrame) -> DataFrame:
-    """(filename, chunk_id, field, kind, word): one row per repair in a chunk; redelivered chunks count once.
+@dataclass
+class Reading:
+    """What both results of problem 2 need: chunks taken apart, misread words, broken words with their whole forms."""
 
-    Null texts and null headings count as empty; texts with a line beyond the scanner's width need no repair, but their
-    words are what misread ones are measured by.
-    """
+    parts: DataFrame
+    misread: DataFrame
+    whole: DataFrame
+
+
+def read_all(chunks: DataFrame, layout: bool = False) -> Reading:
+    """One pass over the chunks; redelivered chunks count once. Null texts and null headings count as empty; texts with a
+    line beyond the scanner's width need no repair, but their words are what misread ones are measured by."""
     from deedloom.session import cut_lineage
 
     rows = chunks.select("filename", "chunk_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("headings", F.array().cast("array<string>")).alias("headings"))
     counts = cut_lineage(word_counts(rows))
     cut = cut_lineage(rows.where(is_cut(F.col("text")) & (F.col("text") != "")).dropDuplicates(["filename", "chunk_id"]))
-    parts = cut_lineage(take_apart(cut.join(running_counts(cut), ["filename", "chunk_id"])))
-    lines = parts.where("kind in ('header', 'page_number')").select("filename", "chunk_id", "field", "kind", "word")
+    parts = cut_lineage(take_apart(cut.join(running_counts(cut), ["filename", "chunk_id"]), layout))
     words, broken = parts.where("kind = 'word'"), parts.where("kind = 'broken'")
     asked = words.select("word").unionByName(broken.select("word")).unionByName(broken.select(F.col("a").alias("word")))
     known = cut_lineage(known_words(asked, counts))
     wrong = known.where("word <> right")
-    misread = words.join(wrong, "word").select("filename", "chunk_id", "field", F.lit("misread").alias("kind"), F.col("right").alias("word"))
+    misread = words.join(wrong, "word").select("filename", "chunk_id", "field", "word", "right")
     closed = known.select("word", F.col("right").alias("right_c"), F.col("n").alias("n_c"))
     hyphened = known.select(F.col("word").alias("a"), F.col("right").alias("right_h"), F.col("n").alias("n_h"))
     both = broken.join(closed, "word", "left").join(hyphened, "a", "left")
     keeps = F.coalesce("n_h", F.lit(0)) > F.coalesce("n_c", F.lit(0))
     whole = F.when(keeps, F.col("right_h")).otherwise(F.coalesce("right_c", "word"))
     seen = F.when(keeps, F.col("a")).otherwise(F.col("word"))
-    hyphen = both.select("filename", "chunk_id", "field", F.lit("hyphen").alias("kind"), whole.alias("word"), seen.alias("seen"))
-    also = hyphen.where("word <> seen").select("filename", "chunk_id", "field", F.lit("misread").alias("kind"), "word")
-    out = lines.unionByName(misread).unionByName(hyphen.drop("seen")).unionByName(also)
-    return out.distinct()
+    return Reading(parts, misread, both.select("filename", "chunk_id", "field", "a", whole.alias("word"), seen.alias("seen")))
+
+
+def repairs(chunks: DataFrame) -> DataFrame:
+    """(filename, chunk_id, field, kind, word): one row per repair in a chunk."""
+    r = read_all(chunks)
+    lines = r.parts.where("kind in ('header', 'page_number')").select("filename", "chunk_id", "field", "kind", "word")
+    row = lambda df, kind, word: df.select("filename", "chunk_id", "field", F.lit(kind).alias("kind"), F.col(word).alias("word"))
+    out = lines.unionByName(row(r.misread, "misread", "right")).unionByName(row(r.whole, "hyphen", "word"))
+    return out.unionByName(row(r.whole.where("word <> seen"), "misread", "word")).distinct()
+
+
+def repaired(chunks: DataFrame) -> DataFrame:
+    """(filename, chunk_id, text, headings): every chunk with continuous paragraphs and whole headings, without running
+    lines and page numbers, with the words that :func:`repairs` finds. Chunks that no scanner cut stay as they are.
+
+    The words of a chunk are collected per chunk, which bounds them.
+    """
+    keys = ["filename", "chunk_id"]
+    r = read_all(chunks, layout=True)
+    pair = lambda df, a, b, broken: df.select(*keys, F.struct(F.lit(broken).alias("broken"), F.col(a).alias("seen"), F.col(b).alias("right")).alias("w"))
+    found = pair(r.misread, "word", "right", False).unionByName(pair(r.whole, "a", "word", True))
+    found = found.groupBy(*keys).agg(F.collect_set("w").alias("found"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for f, c, layout, found in batch.itertuples(index=False):
+                known = ({}, {})
+                for w in found if found is not None else []:
+                    known[w["broken"]][w["seen"]] = w["right"]
+                heads, text = ([put_right(p, *known) for p in x] for x in json.loads(layout))
+                out.append((f, c, "\n".join(text), heads))
+            yield pd.DataFrame(out, columns=["filename", "chunk_id", "text", "headings"])
+
+    layout = r.parts.where("kind = 'layout'").select(*keys, F.col("word").alias("layout"))
+    done = layout.join(found, keys, "left").mapInPandas(run, "filename string, chunk_id int, text string, headings array<string>")
+    rest = chunks.select(*keys, "text", "headings").where(F.coalesce(~is_cut(F.col("text")) | (F.col("text") == ""), F.lit(True)) | F.col("filename").isNull() | F.col("chunk_id").isNull())
+    return done.unionByName(rest.distinct().join(layout.select(*keys), keys, "left_anti"))

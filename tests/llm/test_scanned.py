@@ -73,3 +73,28 @@ def test_viterbi_is_the_best_path():
 
 def test_variants():
     assert "1service" in scanned.variants("scrvice") and "2confidentiality" in scanned.variants("confidcntia1ity") and scanned.variants("") == []
+
+
+def test_repaired(spark):
+    rows = [("p", i, PLAIN, [], "x") for i in range(5)] + [("p", 9, PLAIN + " Confidentiality", None, "x")]
+    rows += [("s", 1, "\n".join(PAGE), [PAGE[0]], "x")] * 2 + [("s", 4, None, None, None)]
+    rows += [("s", 3, "Draft 3 - Confidential\n6 Not-\nices\nAll notices are sent in\nwriting.", ["Draft 3 - Confidential", "6 Not-\nices"], None)]
+    got = {(r.filename, r.chunk_id): (r.text, r.headings) for r in scanned.repaired(chunks(spark, rows)).collect()}
+    whole = "Each sub-processor engaged by the supplier is bound by equivalent confidentiality undertakings. The service records are kept in a tamper-evident format and remain readable for 62 years."
+    assert got.pop(("s", 1)) == (f"4 Confidentiality\n{whole}", ["4 Confidentiality"])
+    assert got.pop(("s", 3)) == ("6 Notices\nAll notices are sent in writing.", ["6 Notices"])
+    assert got.pop(("s", 4)) == (None, None) and got.pop(("p", 9)) == (PLAIN + " Confidentiality", None)
+    assert list(got.values()) == [(PLAIN, [])] * 5
+
+
+def test_paragraphs():
+    lines = ["The parties agree on the", "terms of the Annex.", "Notices to Nordal", "Systems AG are in writ-", "ing; (a) is point-of-", "contact."]
+    said = lambda wrapped: [scanned.put_right(p, {}, {"point-of-contact": "point-of-contact"}) for p in scanned.reassembled(lines, wrapped)]
+    assert said(True) == ["The parties agree on the terms of the Annex. Notices to Nordal Systems AG are in writing; (a) is point-of-contact."]
+    assert scanned.reassembled(["Number of seats:", "602"], False) == [["Number of seats:"], ["602"]] and scanned.reassembled([], True) == []
+    short = ["All notices are sent in", "writing.", "The law of the seat", "applies."]
+    assert [scanned.put_right(p, {}, {}) for p in scanned.reassembled(short, True)] == ["All notices are sent in writing.", "The law of the seat applies."]
+
+
+def test_case_of_words():
+    assert [scanned.recased(*x) for x in (("Scrvice", "service"), ("SCRVICE", "service"), ("scrvice", "service"), ("Tran5ition", "transition"))] == ["Service", "SERVICE", "service", "Transition"]
