@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,13 +135,13 @@ def evidence_normalize(spark, d):
 
 
 @query("derived_blocks", sql.BLOCKS)
-def derived_blocks(spark, d):
-    return derived.blocks(spark, d)
+def derived_blocks(spark, d, whole=False):
+    return derived.blocks(spark, d, whole)
 
 
 @query("block_scan", sql.BLOCK_SCAN)
-def block_scan(spark, d):
-    b = blocks.canonical_blocks(derived.raw_pages(spark, d))
+def block_scan(spark, d, whole=False):
+    b = blocks.canonical_blocks(derived.raw_pages(spark, d, whole))
     return b.select(
         "doc_id", "page_number", "block_index", "block_type", "text", F.size("spans").alias("n_spans"),
         *[F.col(f"bbox.{c}").cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")],
@@ -148,8 +149,8 @@ def block_scan(spark, d):
 
 
 @query("span_flatten", sql.SPAN_FLATTEN)
-def span_flatten(spark, d):
-    b = blocks.canonical_blocks(derived.raw_pages(spark, d))
+def span_flatten(spark, d, whole=False):
+    b = blocks.canonical_blocks(derived.raw_pages(spark, d, whole))
     s = b.select("doc_id", "page_number", "block_index", F.posexplode("spans").alias("k", "s"))
     return s.select("doc_id", "page_number", "block_index", "k", "s.text", (F.col("s.size") * 2).cast("int").alias("double_size"), "s.flags")
 
@@ -161,8 +162,8 @@ def reading_order(spark, d):
 
 
 @query("page_dump", sql.PAGE_DUMP)
-def page_dump(spark, d):
-    return blocks.dump(blocks.canonical_blocks(derived.raw_pages(spark, d))).select("doc_id", "page_number", F.md5("text").alias("md5"))
+def page_dump(spark, d, whole=False):
+    return blocks.dump(blocks.canonical_blocks(derived.raw_pages(spark, d, whole))).select("doc_id", "page_number", F.md5("text").alias("md5"))
 
 
 @query("doc_metadata_map", sql.METADATA)
@@ -173,8 +174,8 @@ def doc_metadata_map(spark, d):
 
 
 @query("detect_clause", sql.DETECT_CLAUSE)
-def detect_clause(spark, d):
-    b = derived.blocks(spark, d).withColumn("c", tx.numbered_clause(tx.collapse_ws(F.col("text"))))
+def detect_clause(spark, d, whole=False):
+    b = derived.blocks(spark, d, whole).withColumn("c", tx.numbered_clause(tx.collapse_ws(F.col("text"))))
     return b.where("c is not null").select("doc_id", "block_index", "c.number", "c.remainder")
 
 
@@ -185,15 +186,15 @@ def detect_letter(spark, d):
 
 
 @query("section_match", sql.SECTION_MATCH)
-def section_match(spark, d):
+def section_match(spark, d, whole=False):
     norm = tx.collapse_ws(F.col("text"))
-    b = derived.blocks(spark, d).withColumn("s", F.when(tx.numbered_clause(norm).isNull(), tx.section_line(norm)))
+    b = derived.blocks(spark, d, whole).withColumn("s", F.when(tx.numbered_clause(norm).isNull(), tx.section_line(norm)))
     return b.where("s is not null").select("doc_id", "block_index", "s.number", "s.title")
 
 
 @query("is_section_heading", sql.IS_HEADING)
-def is_section_heading(spark, d):
-    return derived.blocks(spark, d).where(tx.is_section_heading(F.col("block_type"), F.col("text"))).select("doc_id", "block_index")
+def is_section_heading(spark, d, whole=False):
+    return derived.blocks(spark, d, whole).where(tx.is_section_heading(F.col("block_type"), F.col("text"))).select("doc_id", "block_index")
 
 
 @query("parse_heading", sql.PARSE_HEADING)
@@ -206,24 +207,24 @@ def parse_heading(spark, d):
 
 
 @query("block_kinds", sql.BLOCK_KINDS)
-def block_kinds(spark, d):
-    k = segment.classify(derived.blocks(spark, d))
+def block_kinds(spark, d, whole=False):
+    k = segment.classify(derived.blocks(spark, d, whole))
     return k.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.count("letter").alias("n_lettered"))
 
 
 @query("build_sections", sql.BUILD_SECTIONS)
-def build_sections(spark, d):
-    return segment.sections(derived.blocks(spark, d)).drop("section_id")
+def build_sections(spark, d, whole=False):
+    return segment.sections(derived.blocks(spark, d, whole)).drop("section_id")
 
 
 @query("build_clauses", sql.BUILD_CLAUSES)
-def build_clauses(spark, d):
-    return segment.clauses(derived.blocks(spark, d)).drop("clause_id")
+def build_clauses(spark, d, whole=False):
+    return segment.clauses(derived.blocks(spark, d, whole)).drop("clause_id")
 
 
 @query("build_structure")
-def build_structure(spark, d):
-    s = segment.contract_structure(derived.blocks(spark, d))
+def build_structure(spark, d, whole=False):
+    s = segment.contract_structure(derived.blocks(spark, d, whole))
     return s.select("doc_id", F.size("sections").alias("n_sections"), F.md5(F.to_json("sections")).alias("md5"))
 
 
@@ -259,8 +260,8 @@ def chunk_pages(spark, d):
 
 
 @query("raw_chunk_structure", sql.RAW_STRUCTURE)
-def raw_chunk_structure(spark, d):
-    lines = derived.line_chunks(spark, d)
+def raw_chunk_structure(spark, d, whole=False):
+    lines = derived.line_chunks(spark, d, whole)
     item = F.transform("items", lambda i: F.struct(i["self_ref"].alias("self_ref"), i["label"].alias("label"), F.array(F.struct(i["page_no"].alias("page_no"), F.lit(None).cast("struct<l:double,t:double,r:double,b:double,coord_origin:string>").alias("bbox"))).alias("prov")))
     raw = lines.select("doc_id", "chunk_id", "text", F.struct("headings", item.alias("doc_items")).alias("metadata"))
     c = structure.structural_chunks(raw)
@@ -503,6 +504,16 @@ def contract_representation(spark, d):
     )
 
 
+# --- queries over blocks, with the lines of documents in full ---------------------------------------------------------
+
+for _f in (
+    derived_blocks, block_scan, span_flatten, page_dump, detect_clause, section_match, is_section_heading, block_kinds,
+    build_sections, build_clauses, build_structure, raw_chunk_structure,
+):
+    _name = _f.__name__
+    query(f"{_name}_whole", sql.whole(ORACLE[_name]) if _name in ORACLE else None)(partial(_f, whole=True))
+
+
 # --- nested records and orphan references -------------------------------------------------------------------------
 
 

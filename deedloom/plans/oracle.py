@@ -30,6 +30,11 @@ def fold(x: str) -> str:
     return f"lower(trim(regexp_replace({compat(x)}, '[^a-zA-Z0-9]+', ' ', 'g')))"
 
 
+def whole(x: str) -> str:
+    """SQL over the derived blocks with section lines in full."""
+    return x.replace("substring(line, 1, 60)", "line")
+
+
 CTE_LINES = """lines AS (
   SELECT doc_id, CAST(i - 1 AS INT) AS i, line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line,

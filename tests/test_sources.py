@@ -118,3 +118,13 @@ def test_stream_ingestion(spark, tmp_path):
         spark.createDataFrame([(x,) for x in batch], "k string").write.mode("append").parquet(source)
         ingest(spark, source, "k string", store, compute, str(tmp_path / "check")).awaitTermination()
     assert sorted((r.k, r.v) for r in store.read().collect()) == [("a", 1), ("bb", 2), ("ccc", 3)]
+
+
+def test_blocks_have_whole_lines(spark, tmp_path):
+    from deedloom.plans import catalog
+
+    line = "Notices " * 40 + "end"
+    spark.createDataFrame([(1, line)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert [r.text for r in run("derived_blocks_whole")] == ["1. " + line]
+    assert [r.title for r in run("section_match_whole")] == [line] and run("is_section_heading_whole") == []
