@@ -53,13 +53,23 @@ def lookalike_passages(passages: DataFrame, texts: DataFrame, keys: list[str], p
     return met.where(same("__text", F.col(passage))).drop("__text", passage).distinct()
 
 
-def skeleton_groups(df: DataFrame, column: str) -> DataFrame:
-    """(skeleton, form, n_rows, n_forms): every form of the values that share a skeleton with another form.
+def skeleton_groups(df: DataFrame, column: str, by: tuple[str, ...] = (), once: tuple[str, ...] = ()) -> DataFrame:
+    """(skeleton, form, n_rows, n_forms): every form of the values that share a skeleton with another form. With ``by``,
+    the columns that tell where a form stands come first and rows are counted for each; groups reach over all of them.
+    Rows with equal ``once`` and ``by`` and the same value count once. Nulls are left out.
 
-    Counted per form first, so that hot values shrink before skeletons are made; the group itself is only counted,
-    never collected. Nulls are left out.
+    Skeletons are made once; digests find the forms that may have others (digests of skeletons that meet by chance do no
+    harm), and only those values are grouped. The group itself is only counted, never collected.
     """
-    forms = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("form")).agg(F.count("*").alias("n_rows"))
+    from deedloom.session import cut_lineage
+
+    rows = df.where(F.col(column).isNotNull()).select(*by, *once, F.col(column).alias("form"))
+    pairs = rows.select(F.md5("form").alias("f"), F.xxhash64(skeleton_of(F.col("form"))).alias("h"))
+    pairs = cut_lineage(pairs.distinct())
+    several = pairs.groupBy("h").agg(F.min("f").alias("a"), F.max("f").alias("b")).where("a <> b")
+    hits = pairs.join(several, "h", "left_semi").select("f")
+    odd = cut_lineage(rows.withColumn("f", F.md5("form")).join(hits, "f", "left_semi").drop("f"))
+    forms = (odd.distinct() if once else odd).groupBy(*by, "form").agg(F.count("*").alias("n_rows"))
     marked = forms.withColumn("skeleton", skeleton_of(F.col("form")))
-    sizes = marked.groupBy("skeleton").agg(F.count("*").alias("n_forms")).where("n_forms > 1")
-    return marked.join(sizes, "skeleton").select("skeleton", "form", "n_rows", "n_forms")
+    sizes = marked.groupBy("skeleton").agg(F.count_distinct("form").alias("n_forms")).where("n_forms > 1")
+    return marked.join(sizes, "skeleton").select(*by, "skeleton", "form", "n_rows", "n_forms")

@@ -66,10 +66,21 @@ def p3_found(spark, d):
     return out.select("obligation_id", "filename", "chunk_id")
 
 
+def _texts(spark, d):
+    """(field, filename, id, text) of both fields that problem 3 deals with, redelivered rows too."""
+    passages = table(spark, d, "obligations", F.lit("source_text").alias("field"), "filename", F.col("obligation_id").cast("bigint").alias("id"), F.col("source_text").alias("text"))
+    chunks = table(spark, d, "chunks", F.lit("text").alias("field"), "filename", F.col("chunk_id").cast("bigint").alias("id"), "text")
+    return passages.unionByName(chunks)
+
+
 @query("p3_forms")
 def p3_forms(spark, d):
-    passages = table(spark, d, "obligations", "obligation_id", "source_text").distinct()
-    return lookalike.skeleton_groups(passages, "source_text")
+    return lookalike.skeleton_groups(_texts(spark, d), "text", ("field",), ("filename", "id"))
+
+
+@query("p3_skeletons")
+def p3_skeletons(spark, d):
+    return _texts(spark, d).distinct().select("field", "filename", "id", lookalike.skeleton_of(F.col("text")).alias("skeleton"))
 
 
 def _oversized(spark, d):

@@ -48,3 +48,18 @@ def test_operator(spark):
 def test_groups(spark):
     df = spark.createDataFrame([("Аcme",), ("Acme",), ("Acme",), ("Other",), (None,), ("",)], "v string")
     assert {tuple(r) for r in lookalike.skeleton_groups(df, "v").collect()} == {("Acme", "Аcme", 1, 2), ("Acme", "Acme", 2, 2)}
+
+
+def test_groups_over_passages_and_chunks(spark, tmp_path):
+    from deedloom.llm import queries
+
+    o = [(1, "f", "Аcme pays"), (1, "f", "Аcme pays"), (2, "f", "Other"), (3, "f", None)]
+    c = [("f", 1, "Acme pays"), ("f", 1, "Acme pays"), ("f", 2, "Ｎｏｔｉｃｅ"), ("g", 3, "Notice"), ("g", 4, "Other"), ("g", 5, None)]
+    spark.createDataFrame(o, "obligation_id bigint, filename string, source_text string").write.parquet(str(tmp_path / "obligations.parquet"))
+    spark.createDataFrame(c, "filename string, chunk_id int, text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    forms = {tuple(r) for r in queries.QUERIES["p3_forms"](spark, str(tmp_path)).collect()}
+    assert forms == {
+        ("source_text", "Acme pays", "Аcme pays", 1, 2), ("text", "Acme pays", "Acme pays", 1, 2), ("text", "Notice", "Ｎｏｔｉｃｅ", 1, 2), ("text", "Notice", "Notice", 1, 2),
+    }
+    rows = [tuple(r) for r in queries.QUERIES["p3_skeletons"](spark, str(tmp_path)).collect()]
+    assert len(rows) == 8 and ("text", "f", 2, "Notice") in rows and ("source_text", "f", 1, "Acme pays") in rows and ("text", "g", 5, None) in rows
