@@ -504,6 +504,23 @@ def contract_representation(spark, d):
     )
 
 
+@query("contract_records")
+def contract_records(spark, d):
+    """The pipeline over the contracts themselves: sizes and a digest of each part of the record."""
+    chunks = contract_chunks(spark, d, "text", "headings", "pages")
+    whole = extract_contract(chunks.select("doc_id").distinct(), chunks).representation
+    digest = lambda c: F.md5(F.to_json(c, {"ignoreNullFields": "false"})).alias(f"{c}_md5")
+    return whole.select(
+        "doc_id",
+        F.size("structure.sections").alias("n_sections"),
+        F.size("structure.chunks").alias("n_chunks"),
+        *[F.size(f"semantics.{name}").alias(f"n_{name}") for name in assemble.PLURALS.values()],
+        "validation.chunks_validated",
+        F.size("validation.issues").alias("n_issues"),
+        *[digest(c) for c in ("structure", "semantics", "validation")],
+    )
+
+
 # --- queries over blocks, with the lines of documents in full ---------------------------------------------------------
 
 for _f in (

@@ -168,3 +168,17 @@ def test_accepted_and_rejected_partition(spark, small):
 
 def test_health(spark):
     assert api.health(spark)["status"] == "ok"
+
+
+def test_records_of_contracts(spark, tmp_path):
+    from deedloom.plans import catalog
+
+    def run(name, title, duty):
+        rows = [("f", 0, f"1 {title}\nNordal Ltd shall {duty} within 3 days.", [f"1 {title}"], [1]), ("f", 1, "Nothing is said here.", [f"1 {title}"], [2]), ("g", 0, "Empty.", None, None)]
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows * 2, "filename string, chunk_id int, text string, headings array<string>, pages array<int>").write.parquet(f"{folder}/chunks.parquet")
+        return {r.doc_id: r for r in catalog.QUERIES["contract_records"](spark, folder).collect()}
+
+    a, b, c = run("a", "Scope", "pay"), run("b", "Terms", "pay"), run("c", "Scope", "pack")
+    assert (a["f"].n_sections, a["f"].n_chunks, a["f"].n_obligations, a["f"].chunks_validated) == (1, 2, 1, 2) and (a["g"].n_sections, a["g"].n_chunks) == (0, 1)
+    assert a["f"].structure_md5 != b["f"].structure_md5 and a["f"].semantics_md5 == b["f"].semantics_md5 != c["f"].semantics_md5 and a["g"] == c["g"]
