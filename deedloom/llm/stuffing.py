@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Function words of English, German, French and Spanish; sentences have them, lists of keywords don't.
+# Function words of English, German, French and Spanish (Japanese: see `function`); sentences have them, lists of keywords don't.
 FUNCTION_WORDS = frozenset(
     """the a an and or of to in on at for from with by as is are was were be been it its that this these those i you he she we they my
     your our his her their not no if then than so but just only has have had do does did will would can could there what who which
@@ -34,22 +34,51 @@ REPEATED, COLLOCATION_PMI = 3, 1.0
 _URL = re.compile(r"(?:https?://|www\.)[^\s)\]>\"|]+")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
+_RUNS = re.compile(r"[\u30a1-\u30ff]+|[\u3041-\u309f]+|[㐀-鿿々〆]+|[^぀-ヿ㐀-鿿々〆]+")
+_OVER = re.compile(r"(.{2,12}?)\1+")
+_UNSPACED_ENDS = re.compile(r"[。！？、，；：｜・「」『』【】（）]")
+#: Hiragana words of three letters and more that a sentence has, not a list of keywords, even if they stand alone.
+ENDINGS = frozenset(
+    """ください でした ました ません ありません あります います しました ありがとう ありがとうございます について こちら これは
+    それは という けれど だから しかし そして でしょう""".split()
+)
 _CODE = re.compile(r"\[code\].*?(?:\[/code\]|\Z)|<(pre|code)\b.*?(?:</\1>|\Z)|```.*?(?:```|\Z)", re.S | re.I)
 
 
 @dataclass
 class Words:
-    """A text's words: segments of folded words, how many links there are, words of code, and of scripts without blanks."""
+    """A text's words: segments of folded words, how many links there are, and words of code."""
 
     segments: list[list[str]] = field(default_factory=list)
     links: int = 0
     code: int = 0
-    unspaced: int = 0
+
+
+def unspaced(word: str) -> list[str]:
+    """Words of a stretch of Japanese: runs of one script, where a run says one thing over and over its parts, else long
+    runs of Chinese characters by twos. Hiragana beside other scripts are particles and endings; a hiragana word by
+    itself is a keyword like any other, folded to katakana."""
+    out = []
+    for run in _RUNS.findall(word):
+        if "\u3041" <= run[0] <= "\u309f":
+            alone = run == word and len(run) > 2 and run not in ENDINGS
+            run = "".join(chr(ord(c) + 0x60) if "\u3041" <= c <= "\u3096" else c for c in run) if alone else run
+            if not alone:
+                out.append(run)
+                continue
+        again = _OVER.fullmatch(run) if len(run) > 3 and _CJK.match(run) else None
+        if again:
+            out += [again[1]] * (len(run) // len(again[1]))
+        elif len(run) > 4 and "㐀" <= run[0] <= "鿿":
+            out += [run[i : i + 2] for i in range(0, len(run), 2)]
+        else:
+            out.append(run)
+    return out
 
 
 def fold(text: str) -> Words:
     """Markup away, links counted and taken out, numbers alike, lower case; segments end with lines, sentences and list
-    separators. Every two characters of a script without blanks count as a word."""
+    separators. Scripts without blanks are cut into words by :func:`unspaced`."""
     out = Words()
     t = html.unescape(html.unescape(text)) if "&" in text else text
 
@@ -64,11 +93,14 @@ def fold(text: str) -> Words:
         t = re.sub(r"</?[a-zA-Z][^>]*>", "\n", t)
         t = re.sub(r"\[/?[a-zA-Z]+(?:=[^\]]*)?\]", " ", t)
     t, out.links = _URL.subn("\n", t)
-    if not t.isascii():
-        t, unspaced = _CJK.subn(" ", t)
-        out.unspaced = unspaced // 2
+    cjk = not t.isascii() and _CJK.search(t)
+    if cjk:
+        t = _UNSPACED_ENDS.sub("\n", t)
     for s in re.split(r"[\n|;•·»]+|\s[/#]\s?|(?<=[.!?])\s+|,\s", t):
-        w = ["#" if x.isdigit() else x for x in (y.lower() for y in _WORD.findall(s.replace("_", " ")))]
+        found = _WORD.findall(s.replace("_", " "))
+        if cjk:
+            found = [x for y in found for x in (unspaced(y) if _CJK.search(y) else (y,))]
+        w = ["#" if x.isdigit() else x for x in (y.lower() for y in found)]
         if w:
             out.segments.append(w)
     return out
@@ -80,8 +112,13 @@ def pairs_of(words: Words) -> Counter:
     return Counter(zip(stream, stream[1:]))
 
 
+def function(w: str) -> bool:
+    """A function word; of Japanese, what is written in hiragana."""
+    return w in FUNCTION_WORDS or "\u3041" <= w[0] <= "\u309f"
+
+
 def content(w: str) -> bool:
-    return w != "#" and w not in FUNCTION_WORDS and len(w) > 1
+    return w != "#" and not function(w) and len(w) > 1
 
 
 def stuffing(words: Words, pmi: dict[tuple[str, str], float]) -> tuple[float, int, float, float]:
@@ -96,9 +133,9 @@ def stuffing(words: Words, pmi: dict[tuple[str, str], float]) -> tuple[float, in
     for s in words.segments:
         inside.update(zip(s, s[1:]))
     strong = {p for p, m in inside.items() if m >= REPEATED and content(p[0]) and content(p[1]) and pmi.get(p, 0.0) >= COLLOCATION_PMI}
-    bare = n >= LEAST_WORDS and sum(w in FUNCTION_WORDS for w in stream) < 0.08 * n
+    bare = n >= LEAST_WORDS and sum(map(function, stream)) < 0.08 * n
     stuffed = (marked_words(words, strong, bare) if strong or bare else 0) + LINK_WORDS * words.links
-    total = n + LINK_WORDS * words.links + words.code + words.unspaced
+    total = n + LINK_WORDS * words.links + words.code
     pairs = Counter(zip(stream, stream[1:])) if stuffed else inside
     mean = sum(m * pmi.get(p, 0.0) for p, m in pairs.items()) / max(1, n - 1)
     repeated = sum(m for p, m in pairs.items() if p in strong) / max(1, n - 1)
@@ -116,15 +153,15 @@ def marked_words(words: Words, strong: set[tuple[str, str]], bare: bool) -> int:
         hit, sentence = [False] * len(s), [False] * len(s)
         for i in range(len(s) - 5):
             g = tuple(s[i : i + 6])
-            if six[g] > 1 and sum(w in FUNCTION_WORDS for w in g) >= 3:
+            if six[g] > 1 and sum(map(function, g)) >= 3:
                 sentence[i : i + 6] = [True] * 6
         for i, p in enumerate(zip(s, s[1:])):
             if p in strong:
                 hit[i] = hit[i + 1] = True
-        near = [i for i, h in enumerate(hit) if not h and s[i] not in FUNCTION_WORDS and (i and hit[i - 1] or i + 1 < len(s) and hit[i + 1])]
+        near = [i for i, h in enumerate(hit) if not h and not function(s[i]) and (i and hit[i - 1] or i + 1 < len(s) and hit[i + 1])]
         for i in near:
             hit[i] = True
-        if bare and not any(w in FUNCTION_WORDS for w in s):
+        if bare and not any(map(function, s)):
             hit = [True] * len(s)
         marked += sum(h and not x for h, x in zip(hit, sentence))
     return marked

@@ -54,3 +54,27 @@ def test_empty_and_long(spark):
     assert stuffing.stuffed(frame(spark, []), "doc_id", "text").count() == 0
     assert stuffing.stuffed(frame(spark, [None, ""]), "doc_id", "text").count() == 0
     assert [r.doc_id for r in stuffing.stuffed(frame(spark, ["watch replica sale " * 20_000]), "doc_id", "text").collect()] == [0]
+
+
+JAPANESE = [
+    "格安時計 通販 | 格安時計 販売 | 格安時計 激安 | 格安時計 最安 | 格安時計 送料無料 | 格安時計 通販",
+    "ブランドコピー時計ブランドコピー時計ブランドコピー時計ブランドコピー時計ブランドコピー時計ブランドコピー時計ブランドコピー時計",
+    "タグ：時計、財布、バッグ、おすすめ、激安、通販、格安、ブランド、送料無料、人気、ランキング、セール",
+    "格安時計格安時計格安時計格安時計格安時計格安時計格安時計格安時計格安時計格安時計格安時計格安時計格安時計",
+    "通販・激安\n" + "\n".join(f"時計 https://shop{i}.example/x" for i in range(6)),
+]
+PLAIN_JAPANESE = [
+    "署名欄を先に確認した方がいいと思います。業者は納品日程に問題がないと言っています。第6条の納品日程を読み直してください。86日待っても保証内容の返事がありません。" * 3,
+    "7月の雛形には古い更新条項が残っていました。ブランド時計の通販サイトで激安セールを見つけましたが、送料が高いので買うのをやめました。\nhttps://a.example/x\nhttps://b.example/y",
+]
+
+
+def test_japanese(spark):
+    df = frame(spark, NATURAL + PLAIN_JAPANESE + JAPANESE)
+    n = len(NATURAL + PLAIN_JAPANESE)
+    assert {r.doc_id for r in stuffing.stuffed(df, "doc_id", "text").collect()} == set(range(n, n + len(JAPANESE)))
+
+
+def test_unspaced():
+    assert stuffing.unspaced("第22条の支払期限を") == ["第", "22", "条", "の", "支払期限", "を"] and stuffing.unspaced("おすすめ") == ["オススメ"]
+    assert stuffing.unspaced("個人情報保護法") == ["個人", "情報", "保護", "法"] and stuffing.unspaced("時計店時計店") == ["時計店"] * 2
