@@ -111,6 +111,11 @@ def p4_found(spark, d):
     return survivor.survivors(table(spark, d, "defined_terms"), table(spark, d, "extraction_models"))
 
 
+@query("p4_records")
+def p4_records(spark, d):
+    return survivor.surviving(table(spark, d, "defined_terms"), table(spark, d, "extraction_models"))
+
+
 @query("p2_found")
 def p2_found(spark, d):
     return scanned.repairs(table(spark, d, "chunks", "filename", "chunk_id", "text", "headings"))

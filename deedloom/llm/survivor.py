@@ -150,11 +150,11 @@ def _links(loose: DataFrame, anchors: DataFrame) -> DataFrame:
     there = anchors.join(left.select("filename").distinct(), "filename", "left_semi")
     met = terms(left, "tk").join(terms(there, "gt"), ["filename", "v"]).select("filename", "tk", "gt").distinct()
     met = met.withColumn("gap", F.pandas_udf(gap, T.IntegerType())("tk", "gt"))
-    met = met.where((F.col("gap") == 0) | ((F.col("gap") <= 2) & (F.length("tk") >= 8)))
+    met = met.where((F.col("gap") <= 1) | ((F.col("gap") <= 2) & (F.length("tk") >= 8)))
     # a term that is sure elsewhere is a term, not a slip of a similar one; only a definition can tell otherwise
     known = anchors.select(F.col("gt").alias("tk")).distinct().withColumn("known", F.lit(True))
     pairs = left.join(met, ["filename", "tk"]).join(there, ["filename", "gt"]).join(known, "tk", "left")
-    pairs = pairs.where((F.col("dk") != "") | (F.col("gap") == 0) | F.col("known").isNull())
+    pairs = pairs.where((F.col("dk") != "") | (F.col("gap") == 0) | (F.col("known").isNull() & (F.length("tk") >= 8)))  # short terms slip only by their definition
     return exact.unionByName(_chosen(pairs))
 
 
@@ -224,3 +224,12 @@ def survivors(terms: DataFrame, models: DataFrame) -> DataFrame:
         },
     )
     return sizes.join(best, group).select("group_id", "term_from", "definition_from", "chunk_from")
+
+
+def surviving(terms: DataFrame, models: DataFrame) -> DataFrame:
+    """(group_id, filename, term, definition, source_chunk_id): the record that :func:`survivors` leaves of each group."""
+    best = survivors(terms, models)
+    rows = first_load(terms.select("term_id", "filename", "term", "definition", "source_chunk_id", "loaded_at"), "term_id")
+    for at, columns in (("term_from", ["filename", "term"]), ("definition_from", ["definition"]), ("chunk_from", ["source_chunk_id"])):
+        best = best.join(rows.select(F.col("term_id").alias(at), *columns), at, "left")
+    return best.select("group_id", "filename", "term", "definition", "source_chunk_id")

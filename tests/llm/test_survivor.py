@@ -68,3 +68,13 @@ def test_same_meaning(a, b, same):
 def test_hot_group_is_ranked_in_parts(spark):
     rows = [row(i, model="best" if i == 77 else "good", at=1 + i % 20) for i in range(1, 400)]
     assert run(spark, rows) == {(1, 77, 77, 19)}
+
+
+def test_short_terms_slip_by_their_definition(spark):
+    s = S.replace("Base Rate", "Fees")
+    rows = [row(1, "Fees", source=s), row(2, "Feess", source=None), row(3, "Feess", None, None), row(4, "Feet", "any boot that is sold in pairs", None), row(5, "Fee", D[:40], None, chunk=7, at=9)]
+    assert run(spark, rows) == {(1, 5, 1, 5)}
+    g = survivor.grouped(spark.createDataFrame(rows, TERMS)).groupBy("gt", "gd").agg(F.collect_set("term_id").alias("ids"))
+    assert {frozenset(r.ids) for r in g.collect()} == {frozenset({1, 2, 5}), frozenset({3}), frozenset({4})}
+    models = spark.createDataFrame([("good", 2)], "model string, trust_rank int")
+    assert [tuple(r) for r in survivor.surviving(spark.createDataFrame(rows, TERMS), models).collect()] == [(1, "f", "Fee", D, 7)]
