@@ -56,6 +56,7 @@ class Items:
     def of(cls, rows: list[tuple[int, str | None, str | None]]) -> "Items":
         """Items without text are left out: they can't leak."""
         out = cls([])
+        asked = []
         for ident, text, question in rows:
             w = [out.vocabulary.setdefault(x, len(out.vocabulary)) for x in words(text)]
             if not w:
@@ -65,6 +66,8 @@ class Items:
             out.texts.append(np.array(w, dtype=np.int64))
             for p in range(len(w) - STRETCH + 1):
                 out.stretches[tuple(w[p : p + STRETCH])].append((n, p))
+            asked.append(question)
+        for question in asked:  # when the vocabulary has the words of all texts
             q = [out.vocabulary[x] for x in words(question) if x in out.vocabulary]
             out.questions.append(np.array(sorted(set(q)), dtype=np.int64))
         out.stretches = dict(out.stretches)
@@ -251,7 +254,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str, text: str, paraphrases: b
 
     Texts are tokenised once and never shuffled: word frequencies, singular vectors, and retrieval with check follow from
     their word ids. With ``paraphrases`` also candidates that have most of the item only as a common subsequence, along
-    with the words of its question; without, those two columns are null. Null texts hold nothing; an item shorter than a
+    with the words of its question; without, those two columns are null. An item whose question has none of the items'
+    words is judged by the subsequence alone, and its answer is null. Null texts hold nothing; an item shorter than a
     stretch can't be found. Repeated keys give repeated rows.
     """
     known = held_out(items)
@@ -280,8 +284,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str, text: str, paraphrases: b
                     for n in near - set(hits):
                         common = lcs(it.texts[n].tolist(), seq) / len(it.texts[n])
                         asked = it.questions[n].tolist()
-                        answer = sum(x in have for x in asked) / max(1, len(asked))
-                        if common >= PARAPHRASE_LCS and answer >= PARAPHRASE_ANSWER:
+                        answer = sum(x in have for x in asked) / len(asked) if asked else None
+                        if common >= PARAPHRASE_LCS and (answer is None or answer >= PARAPHRASE_ANSWER):
                             out.append((k, it.ids[n], found.get(n, 0.0), common, answer))
             yield pd.DataFrame(out, columns=["k", "item_id", "coverage", "lcs", "answer"]).astype({"item_id": "int64", "coverage": float, "lcs": float, "answer": float})
 

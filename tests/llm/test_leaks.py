@@ -81,3 +81,14 @@ def test_latent_space_is_close_to_the_exact_one(spark):
     for n, t in enumerate(known.texts):
         assert n in space.candidates(t)
     assert np.allclose(np.linalg.norm(space.items, axis=1), 1)
+
+
+def test_questions_are_asked_in_all_words_and_missing_ones_of_none(spark):
+    rows = [(1, A, "Who saw the swan?"), (2, B, None)]
+    there, back = leaks.Items.of(rows), leaks.Items.of(rows[::-1])
+    names = lambda it, n: {w for w, i in it.vocabulary.items() if i in it.questions[n].tolist()}
+    assert names(there, 0) == names(back, 1) == {"the", "swan"}
+    w = B.replace(".", "").split()
+    loose = " ".join(x for i, x in enumerate(w) for x in ([x] if i % 4 else [x, "indeed"]))
+    got = leaks.leaks(*frames(spark, [(i, FILLER) for i in range(5)] + [(9, loose)]), "doc_id", "text", paraphrases=True).where("lcs is not null").collect()
+    assert [(r.doc_id, r.item_id, r.answer) for r in got] == [(9, 2, None)]
