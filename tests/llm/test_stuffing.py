@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 import pytest
 
 from deedloom.llm import stuffing
@@ -30,24 +34,109 @@ def test_found(spark):
     assert {r.doc_id for r in stuffing.stuffed(df, "doc_id", "text").collect()} == set(range(n, n + 2 * len(STUFFED)))
 
 
-def test_scores_are_the_same_by_brute_force(spark):
-    import math
-    from collections import Counter
-
-    texts = NATURAL + STUFFED
+def brute_force(texts):
+    """Every measure of every text, from counts in dictionaries."""
     folded = [stuffing.fold(t or "") for t in texts]
-    one = Counter(w for f in folded for s in f.segments for w in s)
+    copies = Counter(t or "" for t in texts)
+    one = Counter(w for f in folded for w in f.stream())
     two = sum((stuffing.pairs_of(f) for f in folded), Counter())
-    total = sum(one.values())
-    pmi = {p: math.log(n * total / (one[p[0]] * one[p[1]])) for p, n in two.items()}
-    for r in stuffing.scores(frame(spark, texts), "doc_id", "text").collect():
-        share, n, mean, repeated = stuffing.stuffing(folded[r.doc_id], pmi)
-        assert (r.share, r.n_stuffing) == (pytest.approx(share), n) and r.mean_pmi == pytest.approx(mean) and r.repeated == pytest.approx(repeated)
+    total, shares, strongs = sum(one.values()), [], []
+    out = []
+    share = lambda f, n: (n + stuffing.LINK_WORDS * f.links) / max(1, len(f.stream()) + stuffing.LINK_WORDS * f.links + f.code)
+    for t, f in zip(texts, folded):
+        own, inside, c, n = stuffing.pairs_of(f), stuffing.inside_of(f), copies[t or ""], len(f.stream())
+        pmi = {p: math.log(two[p] * total / (one[p[0]] * one[p[1]])) for p in own}
+        others = {p: max(0, two[p] - c * m) for p, m in own.items()}
+        strong = {
+            p for p, m in own.items() if inside[p] >= stuffing.REPEATED and pmi[p] >= stuffing.COLLOCATION_PMI and m * max(1, total - c * n) >= stuffing.BURST * n * others[p]
+        }
+        m = sum(own.values())
+        out.append({"mean_pmi": sum(pmi[p] * k for p, k in own.items()) / m if m else None, "repeated": sum(own[p] for p in strong) / m if m else None, "n_words": n})
+        strongs.append(strong)
+        shares.append(share(f, stuffing.stuffing_words(f, strong)))
+    for k, (t, f) in enumerate(zip(texts, folded)):
+        c, sums = copies[t or ""], []
+        for w, m in Counter(f.stream()).items():
+            there = [s for g, s in zip(folded, shares) if w in g.stream()]
+            if len(there) > c:
+                sums.append((w, m, max(0, sum(there) - c * shares[k]) / (len(there) - c)))
+        out[k]["company"] = sum(m * x for _, m, x in sums) / sum(m for _, m, _ in sums) if sums else None
+        ordinary = {w for w, _, x in sums if x < stuffing.ORDINARY} if shares[k] >= stuffing.MAJORITY else set()
+        n = stuffing.stuffing_words(f, strongs[k], ordinary)
+        out[k] |= {"n_stuffing": n + stuffing.LINK_WORDS * f.links, "share": share(f, n)}
+    return out
+
+
+def test_scores_are_the_same_by_brute_force(spark):
+    texts = NATURAL + STUFFED + STUFFED[:2] + JAPANESE
+    want = brute_force(texts)
+    rows = stuffing.scores(frame(spark, texts), "doc_id", "text").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        for name, x in want[r.doc_id].items():
+            assert getattr(r, name) == (None if x is None else pytest.approx(x)), (name, texts[r.doc_id])
+
+
+OTHER_LANGUAGES = [
+    "Il contratto scade alla fine del mese e nessuno ha ancora risposto. Abbiamo chiesto due volte una copia firmata. Domani provo a chiamare di nuovo.",
+    "Договор заканчивается в конце месяца, и никто пока не ответил. Мы два раза просили подписанную копию. Завтра я попробую позвонить ещё раз.",
+    "Umowa wygasa pod koniec miesiąca i nikt jeszcze nie odpowiedział. Dwa razy prosiliśmy o podpisaną kopię. Jutro spróbuję zadzwonić ponownie.",
+    "O contrato termina no fim do mês e ninguém respondeu ainda. Pedimos duas vezes uma cópia assinada. Amanhã vou tentar ligar de novo.",
+    "Het contract loopt eind van de maand af en niemand heeft nog geantwoord. We hebben twee keer om een getekende kopie gevraagd. Morgen bel ik opnieuw.",
+    "Sopimus päättyy kuun lopussa eikä kukaan ole vielä vastannut. Pyysimme kahdesti allekirjoitettua kopiota. Huomenna yritän soittaa uudelleen.",
+    "ينتهي العقد في نهاية الشهر ولم يرد أحد بعد. طلبنا نسخة موقعة مرتين. سأحاول الاتصال مرة أخرى غدا.",
+    "hợp đồng hết hạn vào cuối tháng và chưa ai trả lời chúng tôi đã hỏi hai lần ngày mai tôi sẽ gọi lại xem họ nói gì",
+]
+
+
+def test_other_languages_are_kept(spark):
+    alone = stuffing.stuffed(frame(spark, OTHER_LANGUAGES), "doc_id", "text")
+    assert alone.count() == 0
+    among = frame(spark, OTHER_LANGUAGES + NATURAL + STUFFED)
+    n = len(OTHER_LANGUAGES + NATURAL)
+    assert {r.doc_id for r in stuffing.stuffed(among, "doc_id", "text").collect()} == set(range(n, n + len(STUFFED)))
+
+
+def sentences(rnd, n):
+    things, people, days = ["clause", "form", "letter", "annex", "list"], ["lawyer", "landlord", "tenant", "clerk"], ["monday", "friday", "sunday"]
+    pick = rnd.choice
+    return [
+        f"The {pick(people)} wants a copy of the {pick(things)} before {pick(days)}. We have asked the {pick(people)} about it, and that is all that I know. "
+        f"If the {pick(things)} is not there on {pick(days)}, then the {pick(people)} will have to write to the {pick(people)}."
+        for _ in range(n)
+    ]
+
+
+def test_word_salad_with_function_words(spark):
+    rnd = random.Random(3)
+    plain = sentences(rnd, 200)
+    words = sorted({w.strip(".,").lower() for t in plain for w in t.split()})
+    salad = [" ".join(rnd.choice(words) for _ in range(60)) for _ in range(3)]
+    got = {r.doc_id: r for r in stuffing.scores(frame(spark, plain + salad), "doc_id", "text").collect()}
+    assert {i for i, r in got.items() if r.salad} == {200, 201, 202}
+    assert {r.doc_id for r in stuffing.stuffed(frame(spark, plain + salad), "doc_id", "text").collect()} == {200, 201, 202}
+
+
+def test_words_that_keep_the_company_of_stuffing(spark):
+    rnd = random.Random(4)
+    tags = ["seobacklinks", "ndatemplate", "palletjack", "loanshop", "logodesign", "teaonline", "casinocode", "watchsale", "leaseform", "essaywriting", "forklift", "creditnow"]
+    lists = [", ".join(rnd.sample(tags, 12)) for _ in range(10)]
+    glued = " ".join(rnd.sample(tags, 12))
+    plain = sentences(rnd, 30)
+    got = {r.doc_id for r in stuffing.stuffed(frame(spark, plain + lists + [glued]), "doc_id", "text").collect()}
+    assert got == set(range(30, 41))
+
+
+def test_rows_with_one_key_are_judged_alone(spark):
+    df = spark.createDataFrame([(1, STUFFED[0], "x"), (1, NATURAL[0], "x"), (None, STUFFED[1], "x")], "doc_id bigint, text string, share string")
+    assert stuffing.scores(df, "doc_id", "text").count() == 3
+    assert {r.doc_id for r in stuffing.stuffed(df, "doc_id", "text").collect()} == {1, None}
 
 
-def test_suspects_lose_nothing(spark):
-    df = frame(spark, NATURAL + STUFFED)
-    assert {r.k for r in stuffing.read_once(df, "doc_id", "text").where("t is not null").collect()} >= {r.doc_id for r in stuffing.stuffed(df, "doc_id", "text").collect()}
+def test_folded_texts_are_read_back():
+    for t in NATURAL + STUFFED + JAPANESE + OTHER_LANGUAGES:
+        f = stuffing.fold(t or "")
+        assert stuffing.Words.read(str(f), f.links, f.code) == f
 
 
 def test_empty_and_long(spark):
