@@ -221,15 +221,20 @@ def read_once(df: DataFrame, key: str, text: str) -> DataFrame:
     names = ["folded", "links", "code", "n", "w", "wn", "a", "b", "m", "i"]
     schema = f"k {kind}, h bigint, folded string, links int, code int, n bigint, w array<string>, wn array<int>, a array<string>, b array<string>, m array<int>, i array<int>"
     t = F.coalesce(F.col(text), F.lit(""))
-    read = df.select(F.col(key).alias("k"), F.xxhash64(t).alias("h"), t.alias("t")).mapInArrow(run, schema)
+    read = df.select(F.col(key).alias("k"), digest(text).alias("h"), t.alias("t")).mapInArrow(run, schema)
     digests = lambda c: F.transform(c, lambda x: F.xxhash64(x))
     read = read.select("k", "h", "folded", "links", "code", "n", digests("w").alias("w"), "wn", digests("a").alias("a"), digests("b").alias("b"), "m", "i")
     return read.withColumn("pair", F.zip_with("a", "b", lambda x, y: F.xxhash64(x, y)))
 
 
-def with_copies(rows: DataFrame) -> DataFrame:
-    """The rows with how many of them have the same text."""
-    several = rows.groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
+def digest(text: str) -> Column:
+    """A text's digest, by which its copies are known; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def with_copies(rows: DataFrame, df: DataFrame, text: str) -> DataFrame:
+    """The rows with how many of them have the same text, counted in ``df`` itself lest texts are folded for it."""
+    several = df.select(digest(text).alias("h")).groupBy("h").agg(F.count("*").alias("copies")).where("copies > 1")
     return rows.join(several, "h", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
 
 
@@ -311,7 +316,7 @@ def scores(df: DataFrame, key: str, text: str) -> DataFrame:
     """
     from deedloom.session import cut_lineage
 
-    rows = cut_lineage(with_copies(read_once(df, key, text).withColumn("row", F.monotonically_increasing_id())))
+    rows = cut_lineage(with_copies(read_once(df, key, text).withColumn("row", F.monotonically_increasing_id()), df, text))
     counts, total = mutual_information(rows)
     empty = F.array().cast("array<int>")
     pairs = cut_lineage(pair_measures(rows, counts, total))
