@@ -9,14 +9,17 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deedloom.functions.text import py_strip
+from deedloom.sources import cache
 
 # Signal words of the five classes.
 DUTY = r"(shall not|may not|shall|must|is required to|are required to|agrees to|will be responsible to|is responsible for)"
 PERMISSION = r"(may|has the right to|is entitled to|grants the right to|is permitted to)"
 DEFINES = r"(means|shall mean|refers to|includes)"
-REFERENCE = r"(Section [0-9]+(?:\.[0-9]+)*|Exhibit [A-Z]|Order Form(?: [0-9]+)?|Applicable Laws|[Tt]his Agreement|the foregoing|as described above)"
+NUMBER = r"(?<![\w.,$€£%/-])(?<!(?:EUR|USD|GBP) )(?<![€$£] )[0-9]{1,2}(?:\.[0-9]{1,2}){1,3}(?![\w%/-]|[.,][0-9]| ?(?:%|percent|per cent|EUR|USD|GBP|euros?|dollars?|million|hours?|days?|weeks?|months?|years?)\b)"
+REFERENCE = r"(Section [0-9]+(?:\.[0-9]+)*|Exhibit [A-Z]|Order Form(?: [0-9]+)?|Applicable Laws|[Tt]his Agreement|the foregoing|as described above|" + NUMBER + ")"
 
 
 # The fields of each class in their order, and of all classes together.
@@ -63,21 +66,28 @@ def defined_term(s: Column) -> tuple[Column, dict[str, Column]]:
     return s.rlike(DEFINITION), {"term": F.regexp_extract(s, DEFINITION, 1), "definition": F.regexp_extract(s, DEFINITION, 3)}
 
 
+# What follows a verb without being its object.
+NO_OBJECT = r"(?:to|by|with|for|in|on|at|from|of|upon|as|that|if|be|not|under|against|within|after|before|and|or|until)"
+OBJECT = rf"^(?:not )?(?!be )(?:[a-z]+ly )?[a-z]+ ((?!{NO_OBJECT}\b).+)$"
+
+
 def _deontic(s: Column, signal: str) -> tuple[Column, dict[str, Column]]:
     pattern = rf"^(.+?) {signal} (.+?)\.?$"
     body = F.regexp_extract(s, pattern, 3)
     short = F.regexp_replace(body, CONDITION, "")
     negative = F.when(F.regexp_extract(s, pattern, 2).isin("shall not", "may not"), "not")
+    action = F.concat_ws(" ", negative, F.regexp_replace(short, DEADLINE, ""))
     return s.rlike(pattern), {
         "party": F.regexp_extract(s, pattern, 1),
-        "action": F.concat_ws(" ", negative, F.regexp_replace(short, DEADLINE, "")),
+        "action": action,
+        "object": F.when(action.rlike(OBJECT), F.regexp_extract(action, OBJECT, 1)),
         "condition": F.when(body.rlike(CONDITION), F.regexp_extract(body, CONDITION, 1)),
         "deadline": F.when(short.rlike(DEADLINE), F.regexp_extract(short, DEADLINE, 1)),
     }
 
 
 def obligation(s: Column) -> tuple[Column, dict[str, Column]]:
-    """Duties and prohibitions; ``may not`` is a prohibition, a definition is none."""
+    """Duties and prohibitions; ``may not`` is a prohibition, a definition is none. The object is what follows the verb."""
     fits, fields = _deontic(s, DUTY)
     return fits & ~s.rlike(rf'^"[^"]+" {DEFINES} '), fields
 
@@ -85,13 +95,14 @@ def obligation(s: Column) -> tuple[Column, dict[str, Column]]:
 def right(s: Column) -> tuple[Column, dict[str, Column]]:
     """Permissions; sentences with ``may not`` are none."""
     fits, fields = _deontic(s, PERMISSION)
+    del fields["object"]
     return fits & ~s.contains("may not"), fields
 
 
 def reference_kind(t: Column) -> Column:
-    """The type of a mention of a section, exhibit, order form, law or the agreement."""
+    """The type of a mention of a section (also by its bare number), exhibit, order form, law or the agreement."""
     return (
-        F.when(t.startswith("Section"), "section_reference")
+        F.when(t.rlike(r"^(?:Section|[0-9])"), "section_reference")
         .when(t.startswith("Exhibit"), "exhibit_reference")
         .when(t.startswith("Order Form"), "order_form_reference")
         .when(F.lower(t) == "this agreement", "agreement_reference")
@@ -194,3 +205,50 @@ class ClientExtractor:
         fields = ", ".join(f"{f} string" for f in ALL_FIELDS)
         schema = f"doc_id {key['doc_id']}, chunk_id {key['chunk_id']}, kind string, item_index int, {fields}"
         return chunks.select("doc_id", "chunk_id", "text").mapInPandas(run, schema)
+
+
+def failures(items: DataFrame) -> DataFrame:
+    """(doc_id, chunk_id, error): chunks whose extraction failed."""
+    return items.where("kind = 'error'").select("doc_id", "chunk_id", F.col("source_text").alias("error"))
+
+
+#: What a cached extraction holds: the items of one chunk, under the key of its text, place, model and version.
+CACHED = T.StructType(
+    [
+        T.StructField("semantic_key", T.StringType()),
+        T.StructField("items", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("item_index", T.IntegerType()), *[T.StructField(f, T.StringType()) for f in ALL_FIELDS]]))),
+    ]
+)
+
+
+class CachedExtractor:
+    """An extractor behind a cache below ``path``: chunks that were read before by the same model and version are not
+    read again, unless ``force_refresh`` asks for it; then only the entries of these chunks are renewed.
+
+    The key covers the chunk's own text (or the column ``document_key``, where chunks have one), its id, the model and
+    the version; equal keys are read once. Chunks whose extraction fails aren't stored and come out as errors.
+    """
+
+    def __init__(self, inner: Extractor, path: str, model: str, version: str, force_refresh: bool = False):
+        self.inner, self.path, self.model, self.version, self.force_refresh = inner, path, model, version, force_refresh
+
+    def extract(self, chunks: DataFrame) -> DataFrame:
+        from deedloom.session import cut_lineage
+
+        store = cache.ParquetCache(chunks.sparkSession, self.path, CACHED, ("semantic_key",), self.version)
+        document = F.col("document_key") if "document_key" in chunks.columns else F.sha2(F.coalesce("text", F.lit("")), 256)
+        key = cache.semantic_key(document, F.coalesce("chunk_id", F.lit(-1)), F.lit(self.model), F.lit(self.version))
+        keyed = chunks.select("doc_id", "chunk_id", "text", key.alias("semantic_key"))
+        todo = cut_lineage(store.missing(keyed, self.force_refresh))
+        found = cut_lineage(self.inner.extract(todo.select("doc_id", "chunk_id", "text")))
+        failed = failures(found).join(todo.select("doc_id", "chunk_id", "semantic_key"), ["doc_id", "chunk_id"])
+        item = F.struct("kind", F.col("item_index").cast("int").alias("item_index"), *ALL_FIELDS)
+        per_chunk = found.where("kind <> 'error'").groupBy("doc_id", "chunk_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+        read = todo.join(failed, "semantic_key", "left_anti").join(per_chunk, ["doc_id", "chunk_id"], "left")
+        store.add(read.select("semantic_key", F.coalesce("items", F.array()).alias("items")))
+        known = keyed.join(store.read(), "semantic_key").select("doc_id", "chunk_id", F.inline("items"))
+        null = F.lit(None).cast("string")
+        errors = keyed.join(failed.select("semantic_key", "error"), "semantic_key").select(
+            "doc_id", "chunk_id", F.lit("error").alias("kind"), F.lit(0).alias("item_index"), *[null.alias(f) for f in ALL_FIELDS[:-1]], F.col("error").alias("source_text")
+        )
+        return known.unionByName(errors)

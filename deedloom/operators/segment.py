@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deedloom.functions.text import (
@@ -13,6 +13,10 @@ from deedloom.functions.text import (
     numbered_clause,
     section_line,
 )
+from deedloom.operators import ordered
+
+#: Pages that are put in order by one task.
+PAGE_RANGE = 64
 
 
 def classify(blocks: DataFrame) -> DataFrame:
@@ -40,18 +44,14 @@ def classify(blocks: DataFrame) -> DataFrame:
 def marked(blocks: DataFrame) -> DataFrame:
     """Classified blocks with ``grp`` (which opener they follow) and ``sec``; rows before the first opener are gone.
 
-    Both running sums share one exchange and one sort by document. A numbered clause that comes first in its document
-    opens an implicit section.
+    Running sums over page ranges, then within them: a document that holds much of the corpus is sorted range by range.
+    A numbered clause that comes first in its document opens an implicit section, which shifts the others by one.
     """
-    w = Window.partitionBy("doc_id").orderBy("page_number", "block_index").rowsBetween(Window.unboundedPreceding, 0)
-    opener = F.col("kind") != "B"
-    opens_section = (F.col("kind") == "S") | ((F.col("kind") == "C") & (F.col("grp") == 1))
-    return (
-        classify(blocks)
-        .withColumn("grp", F.sum(opener.cast("int")).over(w))
-        .withColumn("sec", F.sum(opens_section.cast("int")).over(w))
-        .where("grp > 0")
-    )
+    sums = {"grp": (F.col("kind") != "B").cast("int"), "sec": (F.col("kind") == "S").cast("int")}
+    opener = {"_first": F.when(F.col("kind") != "B", F.col("kind"))}
+    part = F.floor(F.col("page_number") / PAGE_RANGE)
+    rows = ordered.running(classify(blocks), "doc_id", part, ["page_number", "block_index"], sums, opener).where("grp > 0")
+    return rows.withColumn("sec", F.col("sec") + (F.col("_first") == "C").cast("int")).drop("_first")
 
 
 def groups(blocks: DataFrame) -> DataFrame:

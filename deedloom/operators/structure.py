@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deedloom.functions.text import parse_heading, py_strip
+from deedloom.functions.text import collapse_ws, is_section_heading, parse_heading, py_strip
+from deedloom.operators import ordered
+
+#: Lines and pages that are put in order by one task, and the characters of a chunk.
+LINE_RANGE, PAGE_RANGE, MAX_CHUNK = 4096, 64, 2000
 
 
 def clean_headings(headings: Column) -> Column:
@@ -87,23 +91,47 @@ def first_chunks(chunks: DataFrame, n: int | None) -> DataFrame:
 def paragraph_chunks(lines: DataFrame, budget: int = 800) -> DataFrame:
     """The built-in chunker: consecutive lines (doc_id, i, line) packed by running length into chunks numbered from 0.
 
-    A line starts a new chunk when the running length passes the next multiple of ``budget``.
+    A line starts a new chunk when the running length passes the next multiple of ``budget``. Lengths are summed over
+    ranges of lines first, and chunks numbered over ranges of chunks, so a hot document is no single task's.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    slot = F.floor((F.sum(F.length("line") + 1).over(w) - 1) / budget)
-    order = Window.partitionBy("doc_id").orderBy("slot")
-    return (
-        lines.withColumn("slot", slot)
+    sized = ordered.running(lines, "doc_id", F.floor(F.col("i") / LINE_RANGE), ["i"], {"upto": F.length("line") + 1})
+    packed = (
+        sized.withColumn("slot", F.floor((F.col("upto") - 1) / budget))
         .groupBy("doc_id", "slot")
         .agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("t"))
-        .select(
-            "doc_id",
-            (F.row_number().over(order) - 1).cast("int").alias("chunk_id"),
-            F.array_join("t.line", "\n").alias("text"),
+        .select("doc_id", "slot", F.array_join("t.line", "\n").alias("text"))
+    )
+    return ordered.dense_number(packed, "doc_id", "slot", "chunk_id").select("doc_id", "chunk_id", "text")
+
+
+def heading_chunks(blocks: DataFrame, budget: int = MAX_CHUNK) -> DataFrame:
+    """(doc_id, chunk_id, text, headings, pages): blocks in reading order, packed below the heading they follow.
+
+    A heading begins a chunk and a chunk never reaches beyond its heading's section; within a section, blocks are packed
+    by running length, and a block starts a new chunk when that passes the next multiple of ``budget``. Blank blocks and
+    blocks that are no text are left out.
+    """
+    order = ["page_number", "block_index"]
+    part = F.floor(F.col("page_number") / PAGE_RANGE)
+    text = collapse_ws(F.col("text"))
+    rows = blocks.where("block_type = 'text'").select("doc_id", *order, text.alias("text"), is_section_heading(F.col("block_type"), F.col("text")).alias("head"))
+    rows = ordered.running(rows.where("text <> ''"), "doc_id", part, order, {"sec": F.col("head").cast("int"), "upto": F.length("text") + 1})
+    title = F.when(F.col("head"), F.col("text"))
+    first = rows.groupBy("doc_id", "sec").agg(F.min("upto").alias("_from"), F.min_by(title, F.struct(*order)).alias("heading"))
+    slot = F.struct("sec", F.floor((F.col("upto") - F.col("_from")) / budget).alias("n"))
+    packed = (
+        rows.join(first, ["doc_id", "sec"])
+        .groupBy("doc_id", slot.alias("slot"))
+        .agg(
+            F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("t"),
+            F.first("heading").alias("heading"),
+            F.sort_array(F.collect_set("page_number")).alias("pages"),
+            F.min("upto").alias("at"),
         )
+        .select("doc_id", "at", F.array_join("t.text", "\n").alias("text"), F.filter(F.array("heading"), lambda h: h.isNotNull()).alias("headings"), "pages")
     )
+    numbered = ordered.dense_number(packed, "doc_id", "at", "chunk_id", budget * 4096)
+    return numbered.select("doc_id", "chunk_id", "text", "headings", "pages")
 
 
 def contextualize(headings: Column, text: Column) -> Column:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deedloom.functions import text as tx
 from deedloom.functions.unicode import evidence
 from deedloom.operators import assemble, blocks, extract, graph, grounding, nested, orphans, segment, structure, validate
 from deedloom.plans import oracle as sql
 from deedloom.plans.api import extract_chunk, extract_contract, out_of_bounds
+from deedloom.session import shared_folder
 from deedloom.sources import cache, derived, files
 from deedloom.sources.tables import first_load, table
 
@@ -79,6 +80,38 @@ def cache_get_or_compute(spark, d):
     return hit.unionByName(miss).groupBy("filename", "origin").agg(F.count("*").alias("n"))
 
 
+@query("cache_store", sql.CACHE_STORE)
+def cache_store(spark, d):
+    """The cache itself: half of the keys are computed and stored, then all are wanted, then even ones renewed."""
+    import uuid
+
+    rows = contract_chunks(spark, d, "text").withColumnRenamed("doc_id", "filename")
+    schema = T.StructType([T.StructField("filename", T.StringType()), T.StructField("chunk_id", T.IntegerType()), T.StructField("n", T.IntegerType())])
+    store = cache.ParquetCache(spark, f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}", schema, ("filename", "chunk_id"), "v1")
+    length = lambda sign: lambda df: df.select("filename", "chunk_id", (F.length("text") * sign).alias("n"))
+    store.get_or_compute(rows.where("chunk_id % 3 = 0"), length(1))
+    store.get_or_compute(rows, length(1))
+    store.get_or_compute(rows.where("chunk_id % 2 = 0"), length(-1), force_refresh=True)
+    return cache.hits(store.read(), rows, "filename", "chunk_id")
+
+
+@query("client_errors", sql.CLIENT_ERRORS)
+def client_errors(spark, d):
+    """What becomes of chunks for which a model's client fails, in the contract result."""
+
+    def make():
+        def client(text):
+            if text:
+                raise RuntimeError("no answer")
+            return {}
+
+        return client
+
+    chunks = contract_chunks(spark, d, "headings", "pages").withColumn("text", F.when(F.col("chunk_id") % 5 == 3, "x").otherwise(""))
+    out = extract_contract(chunks.select("doc_id").distinct(), chunks.distinct(), extractor=extract.ClientExtractor(make, retries=0))
+    return out.errors.where("chunk_id is not null")
+
+
 @query("cache_payload_guard", sql.PAYLOAD_GUARD)
 def cache_payload_guard(spark, d):
     raw = table(spark, d, "raw_chunks", "raw_id", "payload")
@@ -135,13 +168,13 @@ def evidence_normalize(spark, d):
 
 
 @query("derived_blocks", sql.BLOCKS)
-def derived_blocks(spark, d, whole=False):
-    return derived.blocks(spark, d, whole)
+def derived_blocks(spark, d):
+    return derived.blocks(spark, d)
 
 
 @query("block_scan", sql.BLOCK_SCAN)
-def block_scan(spark, d, whole=False):
-    b = blocks.canonical_blocks(derived.raw_pages(spark, d, whole))
+def block_scan(spark, d):
+    b = blocks.canonical_blocks(derived.raw_pages(spark, d))
     return b.select(
         "doc_id", "page_number", "block_index", "block_type", "text", F.size("spans").alias("n_spans"),
         *[F.col(f"bbox.{c}").cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")],
@@ -149,8 +182,8 @@ def block_scan(spark, d, whole=False):
 
 
 @query("span_flatten", sql.SPAN_FLATTEN)
-def span_flatten(spark, d, whole=False):
-    b = blocks.canonical_blocks(derived.raw_pages(spark, d, whole))
+def span_flatten(spark, d):
+    b = blocks.canonical_blocks(derived.raw_pages(spark, d))
     s = b.select("doc_id", "page_number", "block_index", F.posexplode("spans").alias("k", "s"))
     return s.select("doc_id", "page_number", "block_index", "k", "s.text", (F.col("s.size") * 2).cast("int").alias("double_size"), "s.flags")
 
@@ -162,8 +195,8 @@ def reading_order(spark, d):
 
 
 @query("page_dump", sql.PAGE_DUMP)
-def page_dump(spark, d, whole=False):
-    return blocks.dump(blocks.canonical_blocks(derived.raw_pages(spark, d, whole))).select("doc_id", "page_number", F.md5("text").alias("md5"))
+def page_dump(spark, d):
+    return blocks.dump(blocks.canonical_blocks(derived.raw_pages(spark, d))).select("doc_id", "page_number", F.md5("text").alias("md5"))
 
 
 @query("doc_metadata_map", sql.METADATA)
@@ -174,8 +207,8 @@ def doc_metadata_map(spark, d):
 
 
 @query("detect_clause", sql.DETECT_CLAUSE)
-def detect_clause(spark, d, whole=False):
-    b = derived.blocks(spark, d, whole).withColumn("c", tx.numbered_clause(tx.collapse_ws(F.col("text"))))
+def detect_clause(spark, d):
+    b = derived.blocks(spark, d).withColumn("c", tx.numbered_clause(tx.collapse_ws(F.col("text"))))
     return b.where("c is not null").select("doc_id", "block_index", "c.number", "c.remainder")
 
 
@@ -186,15 +219,15 @@ def detect_letter(spark, d):
 
 
 @query("section_match", sql.SECTION_MATCH)
-def section_match(spark, d, whole=False):
+def section_match(spark, d):
     norm = tx.collapse_ws(F.col("text"))
-    b = derived.blocks(spark, d, whole).withColumn("s", F.when(tx.numbered_clause(norm).isNull(), tx.section_line(norm)))
+    b = derived.blocks(spark, d).withColumn("s", F.when(tx.numbered_clause(norm).isNull(), tx.section_line(norm)))
     return b.where("s is not null").select("doc_id", "block_index", "s.number", "s.title")
 
 
 @query("is_section_heading", sql.IS_HEADING)
-def is_section_heading(spark, d, whole=False):
-    return derived.blocks(spark, d, whole).where(tx.is_section_heading(F.col("block_type"), F.col("text"))).select("doc_id", "block_index")
+def is_section_heading(spark, d):
+    return derived.blocks(spark, d).where(tx.is_section_heading(F.col("block_type"), F.col("text"))).select("doc_id", "block_index")
 
 
 @query("parse_heading", sql.PARSE_HEADING)
@@ -207,24 +240,24 @@ def parse_heading(spark, d):
 
 
 @query("block_kinds", sql.BLOCK_KINDS)
-def block_kinds(spark, d, whole=False):
-    k = segment.classify(derived.blocks(spark, d, whole))
+def block_kinds(spark, d):
+    k = segment.classify(derived.blocks(spark, d))
     return k.groupBy("doc_id", "kind").agg(F.count("*").alias("n"), F.count("letter").alias("n_lettered"))
 
 
 @query("build_sections", sql.BUILD_SECTIONS)
-def build_sections(spark, d, whole=False):
-    return segment.sections(derived.blocks(spark, d, whole)).drop("section_id")
+def build_sections(spark, d):
+    return segment.sections(derived.blocks(spark, d)).drop("section_id")
 
 
 @query("build_clauses", sql.BUILD_CLAUSES)
-def build_clauses(spark, d, whole=False):
-    return segment.clauses(derived.blocks(spark, d, whole)).drop("clause_id")
+def build_clauses(spark, d):
+    return segment.clauses(derived.blocks(spark, d)).drop("clause_id")
 
 
 @query("build_structure")
-def build_structure(spark, d, whole=False):
-    s = segment.contract_structure(derived.blocks(spark, d, whole))
+def build_structure(spark, d):
+    s = segment.contract_structure(derived.blocks(spark, d))
     return s.select("doc_id", F.size("sections").alias("n_sections"), F.md5(F.to_json("sections")).alias("md5"))
 
 
@@ -260,8 +293,8 @@ def chunk_pages(spark, d):
 
 
 @query("raw_chunk_structure", sql.RAW_STRUCTURE)
-def raw_chunk_structure(spark, d, whole=False):
-    lines = derived.line_chunks(spark, d, whole)
+def raw_chunk_structure(spark, d):
+    lines = derived.line_chunks(spark, d)
     item = F.transform("items", lambda i: F.struct(i["self_ref"].alias("self_ref"), i["label"].alias("label"), F.array(F.struct(i["page_no"].alias("page_no"), F.lit(None).cast("struct<l:double,t:double,r:double,b:double,coord_origin:string>").alias("bbox"))).alias("prov")))
     raw = lines.select("doc_id", "chunk_id", "text", F.struct("headings", item.alias("doc_items")).alias("metadata"))
     c = structure.structural_chunks(raw)
@@ -316,6 +349,12 @@ for _name, _kind, _oracle in (
     _extract(_name, _kind, _oracle)
 
 
+@query("extract_objects", sql.X_OBJECTS)
+def extract_objects(spark, d):
+    found = extract.RuleExtractor().extract(derived.sentence_chunks(spark, d))
+    return extract.of_kind(found, "obligation").select("doc_id", "chunk_id", "object", "source_text")
+
+
 @query("sentence_split", sql.SENTENCES)
 def sentence_split(spark, d):
     return extract.split_sentences(derived.sentence_chunks(spark, d)).select("doc_id", "chunk_id", "sentence")
@@ -521,16 +560,6 @@ def contract_records(spark, d):
     )
 
 
-# --- queries over blocks, with the lines of documents in full ---------------------------------------------------------
-
-for _f in (
-    derived_blocks, block_scan, span_flatten, page_dump, detect_clause, section_match, is_section_heading, block_kinds,
-    build_sections, build_clauses, build_structure, raw_chunk_structure,
-):
-    _name = _f.__name__
-    query(f"{_name}_whole", sql.whole(ORACLE[_name]) if _name in ORACLE else None)(partial(_f, whole=True))
-
-
 # --- nested records and orphan references -------------------------------------------------------------------------
 
 

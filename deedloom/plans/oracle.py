@@ -2,11 +2,26 @@
 
 from __future__ import annotations
 
-from deedloom.functions.text import SPACE_CHARS
-from deedloom.operators import validate as v
-from deedloom.operators.orphans import SECTION_TARGET
-
-WS = "[" + SPACE_CHARS + "]"
+from types import SimpleNamespace
+
+# Fixed values, stated here anew so that an error in the engine's own shows: white space, reasons, definition verbs and
+# the order of the classes.
+WS = "[\t-\r\x1c- \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+v = SimpleNamespace(
+    UNSUPPORTED="source_text is not supported by the document chunk.",
+    NO_NAME="party name does not appear in the document chunk.",
+    NO_DESIGNATION="Party was accepted, but its designation was not explicitly supported by source_text. Designation was removed.",
+    NO_TERM="defined term does not appear in the document chunk.",
+    NO_PATTERN="source_text does not contain an explicit definition pattern such as 'means', 'shall mean', 'refers to', or 'includes'.",
+    NO_OBLIGED="obligation has no responsible party.",
+    NO_DUTY="obligation has no action.",
+    NO_HOLDER="right has no receiving party.",
+    NO_RIGHT="right has no action.",
+    NO_TARGET="reference target does not appear in source_text.",
+    VERBS_COMPAT=["means", "includes", "shallmean", "refersto", "isdefinedas", "shallbedefinedas"],
+    VERBS_FIXED=["means", "includes", "shall mean", "refers to", "is defined as", "shall be defined as"],
+    TYPE_ORDER={"party": 0, "defined_term": 1, "obligation": 2, "right": 3, "reference": 4},
+)
 FULL_FROM = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 FULL_TO = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
 
@@ -30,11 +45,6 @@ def fold(x: str) -> str:
     return f"lower(trim(regexp_replace({compat(x)}, '[^a-zA-Z0-9]+', ' ', 'g')))"
 
 
-def whole(x: str) -> str:
-    """SQL over the derived blocks with section lines in full."""
-    return x.replace("substring(line, 1, 60)", "line")
-
-
 CTE_LINES = """lines AS (
   SELECT doc_id, CAST(i - 1 AS INT) AS i, line FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -48,7 +58,7 @@ CTE_BLOCKS = (
          CASE WHEN i % 17 = 16 THEN 'image' ELSE 'text' END AS block_type,
          CASE WHEN doc_id % 5 = 0 AND i = 0 THEN line
               WHEN doc_id % 7 = 0 AND i = 0 THEN '1.1 ' || line
-              WHEN i % 12 = 0 THEN (i // 12 + 1)::VARCHAR || '. ' || substring(line, 1, 60)
+              WHEN i % 12 = 0 THEN (i // 12 + 1)::VARCHAR || '. ' || line
               WHEN i % 12 = 5 THEN (i // 12 + 1)::VARCHAR || '.1.1 ' || line
               WHEN i % 4 = 0 THEN (i // 12 + 1)::VARCHAR || '.' || ((i % 12) // 4)::VARCHAR || ' ' || line
               WHEN i % 4 = 2 THEN '(a) ' || line
@@ -222,6 +232,10 @@ X_TERMS = f"""WITH {CTE_SENT} SELECT doc_id, chunk_id, 'Order ' || o AS term, 't
 X_OBLIGATIONS = f"""WITH {CTE_SENT} SELECT doc_id, chunk_id, name AS party,
   CASE k WHEN 0 THEN 'deliver order ' || o ELSE 'not assign order ' || o END AS action, CAST(NULL AS VARCHAR) AS condition,
   CASE k WHEN 0 THEN 'within ' || (o % 30 + 1) || ' days' END AS deadline, sentence AS source_text FROM sent WHERE k IN (0, 1)"""
+X_OBJECTS = f"""WITH {CTE_SENT} SELECT doc_id, chunk_id, 'order ' || o AS object, sentence AS source_text FROM sent WHERE k IN (0, 1)"""
+CACHE_STORE = """SELECT filename, chunk_id, CASE WHEN chunk_id % 2 = 0 THEN -1 ELSE 1 END * max(length(text)) AS n FROM chunks
+  WHERE filename IS NOT NULL AND chunk_id IS NOT NULL GROUP BY filename, chunk_id"""
+CLIENT_ERRORS = """SELECT DISTINCT filename AS doc_id, chunk_id, 'no answer' AS error FROM chunks WHERE chunk_id % 5 = 3"""
 X_RIGHTS = f"""WITH {CTE_SENT} SELECT doc_id, chunk_id, name AS party, 'cancel order ' || o AS action,
   regexp_extract(sentence, '(if the priority is .*)[.]$', 1) AS condition, CAST(NULL AS VARCHAR) AS deadline,
   sentence AS source_text FROM sent WHERE k = 2"""
@@ -394,7 +408,12 @@ REPRESENTATION = f"""WITH {CTE_SENT} SELECT doc_id, CAST(count(DISTINCT chunk_id
   CAST(2 * count(*) FILTER (k = 5) + count(*) FILTER (k = 6) AS INT) AS n_references,
   CAST(count(DISTINCT chunk_id) AS INT) AS chunks_validated, CAST(count(*) FILTER (k = 4) AS INT) AS n_issues FROM sent GROUP BY doc_id"""
 
-_TARGET = SECTION_TARGET
+_PART = "((sub-?)?(section|clause|paragraph)s?|articles?|(sec|art|cl|para)s?[.]?|§+)".replace("(", "(?:")
+_PLACE = "([0-9]+(?:[.][0-9]+)*)(?: ?[(](?:[a-z]|[ivxlc]+)[)])*[.]?"
+_TARGET = (
+    f"(?i)^(?:{_PART} ?)?{_PLACE}(?: ?(?:and|or|[&,/]) ?(?:{_PART} ?)?{_PLACE})?(?: ?[(][^()]*[)])?"
+    "(?: (?:hereof|herein|above|below|of (?:the present|this|the) (?:contract|agreement)))?[.]?$"
+)
 CTE_ORPHANS = f"""r AS (SELECT ref_id, filename, target, source_chunk_id, min(loaded_at) AS loaded_at FROM contract_references GROUP BY ALL),
 k AS (
   SELECT ref_id, filename, loaded_at, 'source_chunk_id' AS field, source_chunk_id::VARCHAR AS key FROM r WHERE source_chunk_id IS NOT NULL

@@ -52,25 +52,35 @@ def session(app_name: str = "deedloom", cores: str = "*", **conf: str) -> SparkS
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data: the one that the cluster names in ``spark.checkpoint.dir`` or that was set
+    before. Only a local session without either, as in tests, gets a folder below its warehouse; elsewhere it is an error.
+    """
+    context = spark.sparkContext
+    there = context._jsc.sc().getCheckpointDir()
+    if there.isEmpty():
+        folder = spark.conf.get(CHECKPOINT_CONF, None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} has to name a folder that all executors share")
+        context.setCheckpointDir(folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_checkpoints"))
+        there = context._jsc.sc().getCheckpointDir()
+    return there.get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so that lost executors cost nothing.
+    """Write ``df`` to the shared folder and read it back, so that lost executors cost nothing.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset, as in tests,
-    a folder below the warehouse is used.
+    The files go when nothing refers to them any more, if the cluster sets
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``; sessions made here do.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get(CHECKPOINT_CONF, None) or os.path.join(
-            spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse"), "_checkpoints"
-        )
-        context.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

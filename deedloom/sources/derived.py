@@ -15,18 +15,15 @@ def document_lines(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
 
 
-def blocks(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    """(doc_id, page_number, block_index, block_type, text): document lines dressed as numbered contract blocks.
-
-    Without ``whole``, section lines have only 60 characters of their document's line.
-    """
+def blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, page_number, block_index, block_type, text): document lines dressed as numbered contract blocks."""
     i, line, doc = F.col("i"), F.col("line"), F.col("doc_id")
     sec = (F.floor(i / 12) + 1).cast("int").cast("string")
     sub = F.floor((i % 12) / 4).cast("int").cast("string")
     text = (
         F.when((doc % 5 == 0) & (i == 0), line)
         .when((doc % 7 == 0) & (i == 0), F.concat(F.lit("1.1 "), line))
-        .when(i % 12 == 0, F.concat(sec, F.lit(". "), line if whole else F.substring(line, 1, 60)))
+        .when(i % 12 == 0, F.concat(sec, F.lit(". "), line))
         .when(i % 12 == 5, F.concat(sec, F.lit(".1.1 "), line))
         .when(i % 4 == 0, F.concat(sec, F.lit("."), sub, F.lit(" "), line))
         .when(i % 4 == 2, F.concat(F.lit("(a) "), line))
@@ -41,7 +38,7 @@ def blocks(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     )
 
 
-def raw_pages(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def raw_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as a layout parser emits them: nested pages, raw blocks, lines and spans with one span per word."""
     i = F.col("block_index")
     words = F.split("text", " ")
@@ -62,7 +59,7 @@ def raw_pages(spark: SparkSession, folder: str, whole: bool = False) -> DataFram
         F.array(F.struct(spans.alias("spans"))).alias("lines"),
     )
     return (
-        blocks(spark, folder, whole)
+        blocks(spark, folder)
         .groupBy("doc_id", (F.col("page_number") - 1).alias("page_index"))
         .agg(F.array_sort(F.collect_list(block)).alias("raw_blocks"))
     )
@@ -111,9 +108,9 @@ def sentence_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def line_chunks(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def line_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, chunk_id, text, headings, pages, provenance): four blocks per chunk below the latest section line."""
-    b = blocks(spark, folder, whole)
+    b = blocks(spark, folder)
     w = Window.partitionBy("doc_id").orderBy("block_index")
     title = F.when(F.col("block_index") % 12 == 0, collapse_ws("text"))
     item = F.struct(

@@ -77,7 +77,7 @@ def test_dedupe(spark):
     assert sorted((r.doc_id, r.chunk_id, r.item_index) for r in got.collect()) == [("d", 0, 0), ("d", 0, 2), ("d", 1, 0), ("e", 0, 0)]
 
 
-def test_contract(spark, chunks):
+def test_contract(spark, chunks, failing):
     docs = chunks.select("doc_id").distinct()
     whole = api.extract_contract(docs, chunks, max_chunks=1)
     got = {r.doc_id: r for r in whole.representation.collect()}
@@ -182,3 +182,70 @@ def test_records_of_contracts(spark, tmp_path):
     a, b, c = run("a", "Scope", "pay"), run("b", "Terms", "pay"), run("c", "Scope", "pack")
     assert (a["f"].n_sections, a["f"].n_chunks, a["f"].n_obligations, a["f"].chunks_validated) == (1, 2, 1, 2) and (a["g"].n_sections, a["g"].n_chunks) == (0, 1)
     assert a["f"].structure_md5 != b["f"].structure_md5 and a["f"].semantics_md5 == b["f"].semantics_md5 != c["f"].semantics_md5 and a["g"] == c["g"]
+
+
+@pytest.fixture()
+def failing():
+    """Makers of clients that fail on chunks with a text; local, so that workers needn't import this module."""
+
+    def maker(text):
+        def make():
+            def client(t):
+                if text in t:
+                    raise ValueError("down")
+                return {"party": [{"name": "Nordwind Ltd", "source_text": "between Nordwind Ltd"}]}
+
+            return client
+
+        return make
+
+    return maker
+
+
+def test_failed_chunks_are_errors_of_the_contract(spark, chunks, failing):
+    docs = chunks.select("doc_id").distinct()
+    out = api.extract_contract(docs, chunks, extractor=extract.ClientExtractor(failing("Nothing"), retries=1))
+    assert [tuple(r) for r in out.errors.collect()] == [("e", 0, "down")]
+    n = {r.doc_id: r.validation.chunks_validated for r in out.representation.collect()}
+    assert n == {"d": 2, "e": 0}
+
+
+def test_cached_extraction(spark, chunks, tmp_path, failing):
+    docs = chunks.select("doc_id").distinct()
+    path = str(tmp_path / "semantic")
+    run = lambda make, **options: api.extract_contract(docs, chunks, extractor=extract.ClientExtractor(make, 0), cache_path=path, **options)
+    facts = lambda out: sorted((r.doc_id, r.chunk_id, r.name) for r in out.accepted.collect())
+    first = run(failing("Nothing"))
+    assert [r.chunk_id for r in first.errors.collect()] == [0] and len(facts(first)) == 1
+    second = run(failing("Agreement"))  # what failed is asked again, what was read isn't
+    assert second.errors.count() == 0 and facts(second) == facts(first)
+    third = run(failing("Agreement"), force_refresh=True)
+    assert sorted(r.chunk_id for r in third.errors.collect()) == [0, 1]
+    assert run(failing("Nothing")).errors.count() == 0
+
+
+def test_objects_and_bare_numbers(spark):
+    text = "The Supplier shall promptly deliver the goods. The Buyer shall pay on demand. See 1.4 and 2.3.1, not 1.5 percent, EUR 2.50 or 10.5%."
+    found = extract.RuleExtractor().extract(spark.createDataFrame([("d", 0, text)], "doc_id string, chunk_id int, text string"))
+    assert [r.object for r in found.where("kind = 'obligation'").orderBy("item_index").collect()] == ["the goods", None]
+    assert [(r.target, r.reference_type) for r in found.where("kind = 'reference'").orderBy("item_index").collect()] == [("1.4", "section_reference"), ("2.3.1", "section_reference")]
+
+
+def test_files_to_contracts(spark):
+    uploads = spark.createDataFrame([("a", "a.pdf", b"good"), ("b", "b.pdf", b"bad"), ("c", "c.pdf", b"")], "doc_id string, filename string, content binary")
+
+    def make():
+        def parse(content, name):
+            if content == b"bad":
+                raise ValueError("unreadable")
+            lines = ["Preamble", "1 Parties", TEXT, "2 Law", "x " * 600, "y " * 600]
+            blocks = [{"i": k, "type": 0, "bbox": None, "lines": [{"spans": [{"text": t, "bbox": None, "font": None, "size": None, "flags": None}]}]} for k, t in enumerate(lines)]
+            return [{"page_index": 0, "width": 1.0, "height": 1.0, "raw_blocks": blocks}]
+
+        return parse
+
+    out = api.extract_files(uploads, make)
+    (r,) = out.representation.collect()
+    assert [(c.chunk_id, c.headings, c.pages) for c in r.structure.chunks] == [(0, [], [1]), (1, ["1 Parties"], [1]), (2, ["2 Law"], [1]), (3, ["2 Law"], [1])]
+    assert [s.locator for s in r.structure.sections] == ["1", "2"] and [p.name for p in r.semantics.parties] == ["Nordwind Ltd"]
+    assert sorted((e.doc_id, e.error) for e in out.errors.collect()) == [("b", "ValueError: unreadable"), ("c", "The uploaded file is empty.")]

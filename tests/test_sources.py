@@ -126,5 +126,34 @@ def test_blocks_have_whole_lines(spark, tmp_path):
     line = "Notices " * 40 + "end"
     spark.createDataFrame([(1, line)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
-    assert [r.text for r in run("derived_blocks_whole")] == ["1. " + line]
-    assert [r.title for r in run("section_match_whole")] == [line] and run("is_section_heading_whole") == []
+    assert [r.text for r in run("derived_blocks")] == ["1. " + line]
+    assert [r.title for r in run("section_match")] == [line] and run("is_section_heading") == []
+
+
+def test_cache_refresh_renews_one_key(spark, tmp_path):
+    store = cache.ParquetCache(spark, str(tmp_path / "c"), SCHEMA, ("k",), "v1")
+    size = lambda n: lambda df: df.select("k", (F.length("k") * n).alias("v"), F.lit("v1").alias("cache_version"))
+    want = spark.createDataFrame([("a",), ("bb",), ("ccc",), ("ccc",), (None,)], "k string")
+    rows = lambda df: sorted((r.k, r.v) for r in df.collect())
+    assert rows(store.get_or_compute(want, size(1))) == [("a", 1), ("bb", 2), ("ccc", 3)]
+    assert rows(store.get_or_compute(want.where("k = 'a'"), size(5), force_refresh=True)) == [("a", 5)]
+    assert rows(store.read()) == [("a", 5), ("bb", 2), ("ccc", 3)]
+    (tmp_path / "c" / "part-x.parquet").write_bytes(b"nonsense")
+    assert rows(store.read()) == [("a", 5), ("bb", 2), ("ccc", 3)]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    import pytest
+
+    from deedloom import session
+
+    class Context:
+        master = "spark://x"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isEmpty": lambda self: True})()})()})()
+
+    class Session:
+        sparkContext = Context()
+        conf = type("C", (), {"get": lambda self, k, d=None: d})()
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Session())
