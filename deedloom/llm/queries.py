@@ -44,11 +44,11 @@ def p1_unmatched(spark, d):
 
 
 def _seen(x: str) -> str:
-    """What a reader sees of a text, in SQL, as far as the given data need it."""
-    q = lambda t: t.replace("'", "''")
-    visible = f"translate({x}, '{chars.INVISIBLE}', '')"
-    marks = {**chars.LOOKALIKES, **chars.PUNCTUATION}
-    latin = f"translate({sql.compat(visible)}, '{q(''.join(marks))}', '{q(''.join(marks.values()))}')"
+    """What a reader sees of a text, in SQL with tables of its own, as far as the given data need it: the characters that
+    its texts have."""
+    visible = f"translate({x}, '\u00ad\u200b\u200c\u200d\u2060\ufeff', '')"
+    looks = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥνοЅІЈАВЕКМНОРСТХаеорсухѕіј\u2010\u2011", "ABEZHIKMNOPTYvoSIJABEKMHOPCTXaeopcyxsij--")
+    latin = f"translate({sql.compat(visible)}, '{looks[0]}', '{looks[1]}')"
     return f"trim(regexp_replace(nfc_normalize({latin}), '{sql.WS}+', ' ', 'g'))"
 
 
@@ -80,7 +80,7 @@ def p3_forms(spark, d):
 
 @query("p3_skeletons")
 def p3_skeletons(spark, d):
-    return _texts(spark, d).distinct().select("field", "filename", "id", lookalike.skeleton_of(F.col("text")).alias("skeleton"))
+    return _texts(spark, d).distinct().select("field", "filename", "id", lookalike.skeleton_of(F.col("text"), chars.confusables(spark)).alias("skeleton"))
 
 
 def _oversized(spark, d):

@@ -63,3 +63,38 @@ def test_groups_over_passages_and_chunks(spark, tmp_path):
     }
     rows = [tuple(r) for r in queries.QUERIES["p3_skeletons"](spark, str(tmp_path)).collect()]
     assert len(rows) == 8 and ("text", "f", 2, "Notice") in rows and ("source_text", "f", 1, "Acme pays") in rows and ("text", "g", 5, None) in rows
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return chars.confusables(spark)
+
+
+@pytest.mark.parametrize(
+    ("a", "b", "same"),
+    [
+        ("a`b", "a’b", True), ("a`b c", "a​´b c", True), ("x″y", 'x"y', True), ("x′y", "x'y", True), ("pɑy", "pay", True), ("ᎪᏢ", "AP", True), ("Ꮯontract", "Contract", True),
+        ("սsed", "used", True), ("օrder", "order", True), ("ꓳrder", "Order", True), ("Ⲟrder", "Order", True), ("𝐚𝐦", "am", True), ("ⅿay", "may", True), ("Ⅰtem", "Item", True),
+        ("𝟏𝟎", "10", True), ("１０", "10", True), ("lO", "10", False), ("Il", "lI", False), ("rn", "m", False), ("І", "I", True), ("І", "l", False), ("߀", "0", True), ("∣", "|", True),
+        ("é", "e", False), ("Ä", "A", False), ("ѐ", "è", True), ("a∕b", "a/b", True), ("shall", "SHALL", False), ("²", "2", True), ("ﬁ", "fi", True),
+    ],
+)
+def test_public_table(table, a, b, same):
+    assert (chars.skeleton(a, table) == chars.skeleton(b, table)) is same
+
+
+def test_public_table_is_large_and_leaves_ascii(table):
+    assert 4_000 < len(table) < 0x110000 and [c for c in table if c < 0x80] == [ord("`")]
+
+
+@given(st.text())
+def test_skeletons_by_the_public_table(table, x):
+    s = chars.skeleton(x, table)
+    assert chars.skeleton(s, table) == s
+    assert chars.skeleton(unicodedata.normalize("NFD", x), table) == chars.skeleton(unicodedata.normalize("NFC", x), table)
+
+
+def test_passage_with_a_backtick(spark):
+    p = spark.createDataFrame([(1, "f", 1, "the Buyer’s​ duty")], "obligation_id bigint, filename string, chunk_id int, source_text string")
+    t = spark.createDataFrame([("f", 1, "It is the Buyer`s duty to pay")], "filename string, chunk_id int, text string")
+    assert lookalike.lookalike_passages(p, t, ["filename", "chunk_id"], "source_text", "text").count() == 1
