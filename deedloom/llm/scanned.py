@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: No line of a scanned page is longer; a text with a longer line was not cut into lines by a scanner.
-MAX_LINE = 100
+#: Where every line is shorter, a scanner may have cut the text into lines; where some are longer, too, if a sentence
+#: goes on from one line to the next.
+SHORT_LINE = 100
+#: A line is so much longer than the ones that were filled if it isn't one of them.
+BEYOND_WIDTH = 1.4
 #: A running line repeats in at least so many chunks of its contract.
 REPEATS = 2
 
@@ -42,6 +45,7 @@ BARE_NUMBER = re.compile(r"^(?:\d{1,5}|[ivxl]{1,7})$", re.I)
 NUMBERED = re.compile(r"^\d+(?:\.\d+)*\.?\s+\S")
 BREAK = re.compile(rf"(\w[\w'’.-]*)[{HYPHENS}]\s*$")
 STRIP_END = " \t\"'”’»)]"
+FINAL = tuple(".;:!?．。；：")
 STRIP = " \t\r\n.,;:!?()[]{}<>\"'“”‘’«»„…*_|/\\–—"
 
 
@@ -54,8 +58,17 @@ def line_key(line: Column) -> Column:
 
 
 def is_cut(text: Column) -> Column:
-    """No line exceeds the scanner's width."""
-    return ~F.exists(F.split(text, "\n"), lambda x: F.length(x) > MAX_LINE)
+    """The text was cut into lines: none is long, or some sentence goes on in lower case in the next line."""
+    short = ~F.exists(F.split(text, "\n"), lambda x: F.length(x) > SHORT_LINE)
+    return short | text.rlike(r"""[^\s.;:!?．。；：]["'”’»)\]]*[ \t]*\n\s*\p{Ll}""")
+
+
+def page_width(lines: list[str]) -> int:
+    """The width to which lines were filled. Lines that go on in lower case show it; longer ones by far don't count."""
+    lengths = [len(x) for x in lines]
+    filled = [len(a) for a, b in zip(lines, lines[1:]) if a and b and a.rstrip(STRIP_END)[-1:] not in FINAL and b[:1].islower()]
+    limit = BEYOND_WIDTH * max(filled, default=0)
+    return max((n for n in lengths if not filled or n <= limit), default=0)
 
 
 @dataclass
@@ -68,18 +81,23 @@ class Line:
     label: str = ""
 
 
-LABELS = ("B", "H", "P", "E")  # body, running header or footer, page number, empty
-# Log weights of a label following another; a sentence often continues behind what interrupts it.
-TRANSITIONS = {
+LABELS = ("B", "K", "H", "P", "E")  # body that goes on, body before a break, running header or footer, page number, empty
+# Log weights of a label following another; a sentence often continues behind what interrupts it. A break
+# is body to its neighbours.
+_STEPS = {
     ("B", "B"): 0.0, ("B", "H"): -1.5, ("B", "P"): -1.5, ("B", "E"): -0.5,
     ("H", "B"): -0.2, ("H", "H"): -2.0, ("H", "P"): -0.7, ("H", "E"): -0.5,
     ("P", "B"): -0.2, ("P", "H"): -0.7, ("P", "P"): -3.0, ("P", "E"): -0.5,
     ("E", "B"): -0.5, ("E", "H"): -0.7, ("E", "P"): -0.7, ("E", "E"): -1.0,
 }
+TRANSITIONS = {(a, b): _STEPS[a.replace("K", "B"), b.replace("K", "B")] for a in LABELS for b in LABELS}
+#: What the less fitting of the two body labels costs.
+BREAK_COST = 2.0
 
 
-# Marks of composition that running lines have and sentences lack.
-COMPOSED = re.compile(r"\s{2,}\S|\s[-–|/]\s|^\W*(?:[^\Wa-z]{2,}\W+)+[^\Wa-z]{3,}\W*\d*$|^R[ec]f\.\s|-\d{3,}/[A-Z]\b")
+# Marks of composition that running lines have and sentences lack: gaps, separators, capitals throughout,
+# a code of letters, numbers and signs at the end.
+COMPOSED = re.compile(r"\s{2,}\S|\s[-–|/]\s|^\W*(?:[^\Wa-z]{2,}\W+)+[^\Wa-z]{3,}\W*\d*$|\b[A-Z]{2,}[-/]\d[\w/-]*$")
 
 
 def passing(line: Line) -> bool:
@@ -89,18 +107,29 @@ def passing(line: Line) -> bool:
     return not t or bool(composed) or bool(PAGE_NUMBER.match(t))
 
 
-def emissions(lines: list[Line], k: int, width: int, wrapped: bool) -> dict[str, float]:
-    """Log weights of the labels for line ``k`` from layout features: repetition in the contract, width against the
-    page, whether the next word would still have fitted, sentence ends around it, number patterns."""
-    line = lines[k]
+def neighbours(lines: list[Line]) -> tuple[list[str], list[str]]:
+    """For each line the nearest before and behind it that sentences don't pass over, by one scan each way."""
+
+    def scan(order: list[Line]) -> list[str]:
+        out, last = [], ""
+        for x in order:
+            out.append(last)
+            if not passing(x):
+                last = x.text.strip()
+        return out
+
+    return scan(lines), scan(lines[::-1])[::-1]
+
+
+def emissions(line: Line, before: str, after: str, width: int, wrapped: bool) -> dict[str, float]:
+    """Log weights of the labels for a line from layout features: repetition in the contract, width against the page,
+    whether the next word would still have fitted, sentence ends around it, number patterns."""
     t = line.text.strip()
     none = -1e9
     if not t:
-        return {"B": none, "H": none, "P": none, "E": 0.0}
+        return {"B": none, "K": none, "H": none, "P": none, "E": 0.0}
     if line.heading:
-        return {"B": 0.0, "H": none, "P": none, "E": none}
-    before = next((x.text.strip() for x in reversed(lines[:k]) if not passing(x)), "")
-    after = next((x.text.strip() for x in lines[k + 1 :] if not passing(x)), "")
+        return {"B": 0.0, "K": none, "H": none, "P": none, "E": none}
     ended = not before or before[-1] in ".;:!?"
     body = header = page = 0.0
     if PAGE_NUMBER.match(t):
@@ -109,12 +138,16 @@ def emissions(lines: list[Line], k: int, width: int, wrapped: bool) -> dict[str,
         if bare and (before.endswith(":") or (not wrapped and t.isdigit())):
             page = -6.0
         body, header = (-2.0 if page > 0 else 2.0), -4.0
-        return {"B": body, "H": header, "P": page, "E": none}
+        return {"B": body, "K": body - BREAK_COST, "H": header, "P": page, "E": none}
     page = none
     # the greedy filling of lines: a body line stops where the next word doesn't fit, or at a sentence's end
     first = after.split(" ", 1)[0] if after else ""
     fits = bool(first) and len(t) + 1 + len(first) <= width - 2
-    final = t[-1] in ".;:!?．。；："
+    final = t[-1] in FINAL
+    ends = bool(after) and (not wrapped or fits and (final or not after[0].islower()))
+    interrupts = not ended and after[:1].islower() and not t[0].islower()
+    if line.repeats >= REPEATS and final and interrupts and len(t.split()) > 2:
+        header += 6.0
     if line.repeats >= REPEATS:
         header += 2.0
     if line.repeats >= 3 * REPEATS:
@@ -137,20 +170,20 @@ def emissions(lines: list[Line], k: int, width: int, wrapped: bool) -> dict[str,
         header += 1.0
     if not wrapped:
         header -= 1.0
-    return {"B": body, "H": header - 1.8, "P": page, "E": none}
+    return {"B": body - BREAK_COST * ends, "K": body - BREAK_COST * (not ends), "H": header - 1.8, "P": page, "E": none}
 
 
 def label(lines: list[Line]) -> list[Line]:
     """The likeliest sequence of labels (Viterbi)."""
     if not lines:
         return lines
-    texts = [x.text.rstrip() for x in lines]
-    width = max((len(t) for t, x in zip(texts, lines) if not passing(x)), default=0)
+    before, after = neighbours(lines)
+    width = page_width([x.text.rstrip() for x in lines if not passing(x)])
     wrapped = evidence_of_wrapping(lines)
     score = {s: 0.0 for s in LABELS}
     back: list[dict[str, str]] = []
-    for k in range(len(lines)):
-        e = emissions(lines, k, width, wrapped)
+    for k, line in enumerate(lines):
+        e = emissions(line, before[k], after[k], width, wrapped)
         if k == 0:
             score = dict(e)
             continue
@@ -169,8 +202,9 @@ def label(lines: list[Line]) -> list[Line]:
 
 
 def evidence_of_wrapping(lines: list[Line]) -> bool:
-    """Somewhere a sentence goes on in the next line that isn't repeated, a number or a heading."""
-    body = [x for x in lines if x.text.strip() and not x.heading and x.repeats < REPEATS and not PAGE_NUMBER.match(x.text.strip())]
+    """Somewhere a sentence goes on in the next line that isn't repeated by looks, a number or a heading."""
+    inside = lambda t: t[0].islower() or t[0] in "(;," or t[-1] in ".;:!?"
+    body = [x for x in lines if x.text.strip() and not x.heading and (x.repeats < REPEATS or inside(x.text.strip())) and not PAGE_NUMBER.match(x.text.strip())]
     for a, b in zip(body, body[1:]):
         end, start = a.text.strip()[-1], b.text.strip()[0]
         if end not in ".;:!?" and not re.match(r"\([a-z]\)", b.text.strip()) and (start.islower() or start.isdigit() or len(a.text) > 30):
@@ -187,7 +221,7 @@ def heading_lines(text: str, headings: list[str]) -> int:
 def running_heading(heading: str) -> bool:
     """A heading that is none: unnumbered and composed like a running line."""
     h = heading.strip()
-    return not NUMBERED.match(h) and bool(re.search(r"\s[-–|/]\s|\s{2,}|\d|^Ref\b|^Rcf\b|\bcopy\b", h) or (h.isupper() and len(h.split()) > 1))
+    return not NUMBERED.match(h) and bool(re.search(r"\s[-–|/]\s|\s{2,}|\d", h) or (h.isupper() and len(h.split()) > 1))
 
 
 def tokens(text: str) -> list[str]:
@@ -233,14 +267,16 @@ def joined_words(lines: list[str]) -> tuple[str, list[tuple[str, str]]]:
 Piece = str | list[str]
 
 
-def reassembled(lines: list[str], wrapped: bool) -> list[list[Piece]]:
+def reassembled(lines: list[str], wrapped: bool, breaks: list[bool] | None = None) -> list[list[Piece]]:
     """Body lines as paragraphs. A line goes on in the next one if its last word is broken, or if the next word would no
-    longer have fitted, or in lower case behind no sentence's end; lines that no scanner wrapped stay by themselves.
+    longer have fitted, or in lower case behind no sentence's end; lines that no scanner wrapped stay by themselves. Where
+    the lines were labelled, ``breaks`` tells which end a paragraph.
 
     Where a full line ends a sentence, nothing shows whether the paragraph ends too; it is taken to go on.
     """
+    told = [b for x, b in zip(lines, breaks) if x.strip()] if breaks else None
     todo = [x.strip() for x in lines if x.strip()]
-    width = max(map(len, todo), default=0)
+    width = page_width(todo)
     out: list[list[Piece]] = []
     new, carry, size = True, todo[0] if todo else "", len(todo[0]) if todo else 0
     for k in range(len(todo)):
@@ -259,7 +295,7 @@ def reassembled(lines: list[str], wrapped: bool) -> list[list[Piece]]:
             first = follow.split(" ", 1)[0]
             fits = size + 1 + len(first) <= width - 1
             ended = bool(carry) and carry.rstrip(STRIP_END)[-1:] in tuple(".;:!?．。；：")
-            new = not wrapped or fits and (ended or not follow[:1].islower())
+            new = told[k] if told else not wrapped or fits and (ended or not follow[:1].islower())
             carry = follow
         size = len(follow)
     return [[x for x in p if x] for p in out]
@@ -298,21 +334,23 @@ def read_chunk(text: str, headings: list[str], repeats: list[int]) -> Repair:
                 words[field] |= set(tokens(rest))
                 broken[field] |= set(cut)
     lines = label([Line(x, r) for x, r in zip(raw[n:], repeats[n:])])
-    kept = []
+    kept, breaks = [], []
     for x in lines:
         if x.label in "HP" and x.text.strip():
             rows.append(("text", "header" if x.label == "H" else "page_number", x.text.strip()))
-        elif x.label == "B":
+        elif x.label in "BK":
             kept.append(x.text)
+            breaks.append(x.label == "K")
     rest, cut = joined_words(kept)
     words["text"] |= set(tokens(rest))
     broken["text"] |= set(cut)
-    wrapped = evidence_of_wrapping([x for x in lines if x.label in "BE"])
-    return Repair(rows, words, broken, kept, titles, (titles if n else []) + reassembled(kept, wrapped))
+    wrapped = evidence_of_wrapping([x for x in lines if x.label in "BKE"])
+    return Repair(rows, words, broken, kept, titles, (titles if n else []) + reassembled(kept, wrapped, breaks))
 
 
 def variants(word: str) -> list[str]:
-    """Words the scanner may have had before it, with one or two misreadings undone."""
+    """Words the scanner may have had before it, with one or two misreadings undone; of words of three letters and less,
+    of which two would leave too little, with one."""
     once: set[str] = set()
     for true, seen in MISREADINGS:
         at = word.find(seen)
@@ -320,9 +358,9 @@ def variants(word: str) -> list[str]:
             once.add(word[:at] + true + word[at + len(seen) :])
             at = word.find(seen, at + 1)
     twice: set[str] = set()
-    if len(word) >= 6:
+    if len(word) > 3:
         for w in once:
-            for true, seen in MISREADINGS[:24]:
+            for true, seen in MISREADINGS:
                 at = w.find(seen)
                 while at >= 0:
                     twice.add(w[:at] + true + w[at + len(seen) :])
@@ -385,18 +423,18 @@ def word_counts(chunks: DataFrame) -> DataFrame:
 
 
 def running_counts(cut: DataFrame) -> DataFrame:
-    """(filename, chunk_id, repeats): for each line the number of chunks of the contract that have it too."""
+    """(filename, chunk_id, repeats): of each chunk the lines, by position, that other chunks of the contract have, too,
+    and how many have them. Chunks without such a line are left out. Lines are met by digests; blank ones don't count.
+ Headings are left out.
+    """
     n_heads = F.size(F.split(F.array_join("headings", "\n"), "\n"))
     lines = cut.select("filename", "chunk_id", n_heads.alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    # sentence ends and beginnings inside a sentence are body lines however often they recur
-    able = (F.col("pos") >= F.col("h")) & ~F.col("line").rlike(r"[.;:!?]\s*$|^\s*[\p{Ll}(;,]|^\s*$")
-    keyed = lines.select("filename", "chunk_id", "pos", F.when(able, line_key(F.col("line"))).alias("key"))
-    body = keyed.where("length(key) between 3 and 90")
-    counts = (
-        body.select("filename", "key", "chunk_id").distinct().groupBy("filename", "key").agg(F.count("*").alias("n")).where(F.col("n") >= REPEATS)
-    )
-    met = keyed.join(counts, ["filename", "key"], "left").select("filename", "chunk_id", "pos", F.coalesce("n", F.lit(0)).cast("int").alias("n"))
-    return met.groupBy("filename", "chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]).alias("repeats"))
+    able = (F.col("pos") >= F.col("h")) & (F.trim("line") != "")
+    keyed = lines.where(able).select("filename", "chunk_id", "pos", F.xxhash64(line_key(F.col("line"))).alias("key"))
+    per_chunk = keyed.groupBy("filename", "key", "chunk_id").agg(F.collect_list("pos").alias("pos"))
+    counts = per_chunk.groupBy("filename", "key").agg(F.count("*").cast("int").alias("n")).where(F.col("n") >= REPEATS)
+    met = per_chunk.join(counts, ["filename", "key"]).select("filename", "chunk_id", F.explode("pos").alias("pos"), "n")
+    return met.groupBy("filename", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "n"))).alias("repeats"))
 
 
 def take_apart(cut: DataFrame, layout: bool = False) -> DataFrame:
@@ -408,7 +446,8 @@ def take_apart(cut: DataFrame, layout: bool = False) -> DataFrame:
         for batch in batches:
             out = []
             for f, c, text, heads, repeats in batch.itertuples(index=False):
-                r = read_chunk(text, list(heads) if heads is not None else [], list(repeats))
+                found = dict(repeats) if repeats is not None else {}
+                r = read_chunk(text, list(heads) if heads is not None else [], [found.get(i, 0) for i in range(text.count("\n") + 1)])
                 out += [(f, c, field, kind, w, None, None) for field, kind, w in dict.fromkeys(r.rows)]
                 if layout:
                     out.append((f, c, None, "layout", json.dumps([r.headings, r.text]), None, None))
@@ -459,7 +498,7 @@ def read_all(chunks: DataFrame, layout: bool = False) -> Reading:
     rows = chunks.select("filename", "chunk_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("headings", F.array().cast("array<string>")).alias("headings"))
     counts = cut_lineage(word_counts(rows))
     cut = cut_lineage(rows.where(is_cut(F.col("text")) & (F.col("text") != "")).dropDuplicates(["filename", "chunk_id"]))
-    parts = cut_lineage(take_apart(cut.join(running_counts(cut), ["filename", "chunk_id"]), layout))
+    parts = cut_lineage(take_apart(cut.join(running_counts(cut), ["filename", "chunk_id"], "left"), layout))
     words, broken = parts.where("kind = 'word'"), parts.where("kind = 'broken'")
     asked = words.select("word").unionByName(broken.select("word")).unionByName(broken.select(F.col("a").alias("word")))
     known = cut_lineage(known_words(asked, counts))

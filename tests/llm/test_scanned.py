@@ -63,9 +63,10 @@ def test_viterbi_is_the_best_path():
 
     texts = ["The parties agree that every", "Draft 3 - Confidential", "- 4 -", "", "notice is sent in writing."]
     lines = [scanned.Line(t, 3 if t.startswith("Draft") else 0) for t in texts]
-    width = max(len(x.text) for x in lines if not scanned.passing(x))
+    width = scanned.page_width([x.text for x in lines if not scanned.passing(x)])
     wrapped = scanned.evidence_of_wrapping(lines)
-    score = [scanned.emissions(lines, k, width, wrapped) for k in range(len(lines))]
+    before, after = scanned.neighbours(lines)
+    score = [scanned.emissions(x, before[k], after[k], width, wrapped) for k, x in enumerate(lines)]
     total = lambda path: sum(score[k][s] for k, s in enumerate(path)) + sum(scanned.TRANSITIONS[p] for p in zip(path, path[1:]))
     best = max(product(scanned.LABELS, repeat=len(lines)), key=total)
     assert tuple(x.label for x in scanned.label(lines)) == best == ("B", "H", "P", "E", "B")
@@ -98,3 +99,48 @@ def test_paragraphs():
 
 def test_case_of_words():
     assert [scanned.recased(*x) for x in (("Scrvice", "service"), ("SCRVICE", "service"), ("scrvice", "service"), ("Tran5ition", "transition"))] == ["Service", "SERVICE", "service", "Transition"]
+
+
+LONG = "This copy was made for the archive of the supplier and shows the pages in the order in which they were received by it."
+
+
+def test_a_long_line_keeps_no_chunk_from_repair(spark):
+    rows = [("p", i, PLAIN, [], "x") for i in range(5)] + [("p", 9, PLAIN + " Confidentiality", None, "x")]
+    rows += [("s", 1, "\n".join([*PAGE, LONG]), [PAGE[0]], "x"), ("s", 2, f"5 Notices\nAll notices are sent in\nDraft 3 - Confidential\nwriting.\n{LONG}", ["5 Notices"], "x")]
+    assert len(LONG) > scanned.SHORT_LINE
+    got = {(r.chunk_id, r.field, r.kind, r.word) for r in scanned.repairs(chunks(spark, rows)).collect()}
+    assert got == {
+        (1, "text", "hyphen", "equivalent"), (1, "text", "hyphen", "tamper-evident"), (1, "text", "header", "Draft 3 - Confidential    7"), (1, "text", "page_number", "- 7 -"),
+        (1, "text", "misread", "service"), (1, "text", "misread", "confidentiality"), (1, "headings", "misread", "confidentiality"), (2, "text", "header", "Draft 3 - Confidential"),
+    }
+    text = {r.chunk_id: r.text for r in scanned.repaired(chunks(spark, rows)).collect() if r.filename == "s"}
+    assert text[2] == f"5 Notices\nAll notices are sent in writing.\n{LONG}"
+
+
+def test_running_line_that_ends_like_a_sentence(spark):
+    foot = "Nordal Systems AG 2024. All rights reserved."
+    rows = [("p", i, PLAIN, [], "x") for i in range(3)]
+    rows += [("s", i, f"The service records are kept in a form that remains\n{foot}\nreadable for {i + 20} years.", [], "x") for i in range(6)]
+    got = {(r.chunk_id, r.kind, r.word) for r in scanned.repairs(chunks(spark, rows)).collect()}
+    assert got == {(i, "header", foot) for i in range(6)}
+
+
+def test_labels_of_many_lines_take_linear_time():
+    import time
+
+    lines = lambda n: [scanned.Line("the records of the supplier are kept in", 0) for _ in range(n)]
+    spent = []
+    for n in (2_000, 16_000):
+        began = time.perf_counter()
+        scanned.label(lines(n))
+        spent.append(time.perf_counter() - began)
+    assert spent[1] < 24 * spent[0]
+
+
+def test_breaks_are_labelled():
+    lines = [scanned.Line(t, 0) for t in ["All notices are sent in", "writing.", "The law of the seat of the", "buyer applies to it."]]
+    assert [x.label for x in scanned.label(lines)] == ["B", "K", "B", "B"]
+
+
+def test_second_misreading_of_any_kind():
+    assert "2noon" in scanned.variants("ncou") and not any(v.startswith("2") for v in scanned.variants("ncu"))
