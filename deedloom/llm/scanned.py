@@ -60,7 +60,7 @@ def line_key(line: Column) -> Column:
 def is_cut(text: Column) -> Column:
     """The text was cut into lines: none is long, or some sentence goes on in lower case in the next line."""
     short = ~F.exists(F.split(text, "\n"), lambda x: F.length(x) > SHORT_LINE)
-    return short | text.rlike(r"""[^\s.;:!?．。；：]["'”’»)\]]*[ \t]*\n\s*\p{Ll}""")
+    return short | text.rlike(r"""(?<=[^\s.;:!?．。；："'”’»)\]]["'”’»)\]]{0,2}[ \t]{0,9})\n\s*\p{Ll}""")
 
 
 def page_width(lines: list[str]) -> int:
@@ -145,7 +145,7 @@ def emissions(line: Line, before: str, after: str, width: int, wrapped: bool) ->
     fits = bool(first) and len(t) + 1 + len(first) <= width - 2
     final = t[-1] in FINAL
     ends = bool(after) and (not wrapped or fits and (final or not after[0].islower()))
-    interrupts = not ended and after[:1].islower() and not t[0].islower()
+    interrupts = not ended and after[:1].islower() and t[0].isupper()
     if line.repeats >= REPEATS and final and interrupts and len(t.split()) > 2:
         header += 6.0
     if line.repeats >= REPEATS:
@@ -425,11 +425,13 @@ def word_counts(chunks: DataFrame) -> DataFrame:
 def running_counts(cut: DataFrame) -> DataFrame:
     """(filename, chunk_id, repeats): of each chunk the lines, by position, that other chunks of the contract have, too,
     and how many have them. Chunks without such a line are left out. Lines are met by digests; blank ones don't count.
- Headings are left out.
+ Headings are left out, and so are
+    lines that begin in lower case without any mark of composition, which :func:`emissions` makes body lines however
+    often they recur.
     """
     n_heads = F.size(F.split(F.array_join("headings", "\n"), "\n"))
     lines = cut.select("filename", "chunk_id", n_heads.alias("h"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    able = (F.col("pos") >= F.col("h")) & (F.trim("line") != "")
+    able = (F.col("pos") >= F.col("h")) & F.col("line").rlike(r"^\s*[^\s\p{Ll}(;,]|\S\s{2,}\S|\s[-–|/]\s|[A-Z][-/]\d")
     keyed = lines.where(able).select("filename", "chunk_id", "pos", F.xxhash64(line_key(F.col("line"))).alias("key"))
     per_chunk = keyed.groupBy("filename", "key", "chunk_id").agg(F.collect_list("pos").alias("pos"))
     counts = per_chunk.groupBy("filename", "key").agg(F.count("*").cast("int").alias("n")).where(F.col("n") >= REPEATS)
