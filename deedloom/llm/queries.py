@@ -38,6 +38,11 @@ def p1_found(spark, d):
     return _typed(spark, d).select("ref_id", "type_id")
 
 
+@query("p1_candidates")
+def p1_candidates(spark, d):
+    return canon.candidates(table(spark, d, "contract_references", "reference_type"), table(spark, d, "reference_types"), "reference_type")
+
+
 @query("p1_unmatched")
 def p1_unmatched(spark, d):
     return canon.unmatched_report(_typed(spark, d), "reference_type")

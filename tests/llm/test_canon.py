@@ -67,7 +67,31 @@ def test_empty(spark):
     assert canon.typed_references(rows.limit(0), reference, "ref_id", "reference_type").count() == 0
 
 
-def test_list_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(canon, "MAX_ENTRIES", 1)
-    with pytest.raises(ValueError):
-        canon.reference_entries(spark.createDataFrame([(1, "a", "A"), (2, "b", "B")], "type_id int, type_code string, label string"))
+def frames(spark):
+    reference = spark.createDataFrame([(i, f"kind_{w}", w) for i, w in enumerate(["alpha", "alphas", "bravo", "charlie", "delta"], 1)], "type_id int, type_code string, label string")
+    rows = spark.createDataFrame([(i, v, None) for i, v in enumerate(["alpah", "alphass", "brvo", "charly", "nothing", "Załącznik", "delta", "delta"])], ROWS)
+    return rows, reference
+
+
+def test_all_entries_within_distance(spark):
+    rows, reference = frames(spark)
+    aliases = spark.createDataFrame([("kind_delta", "załącznik"), ("kind_unknown", "nothing"), (None, None)], "type_code string, alias string")
+    got = {tuple(r) for r in canon.candidates(rows, reference, "reference_type", aliases).collect()}
+    assert got == {("alpah", 1, 1), ("brvo", 3, 1), ("alphass", 1, 2), ("alphass", 2, 1), ("charly", 4, 2), ("Załącznik", 5, 0), ("delta", 5, 0)}
+    best = {(r.ref_id, r.type_id) for r in canon.typed_references(rows, reference, "ref_id", "reference_type", aliases).collect()}
+    assert best == {(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (5, 5), (6, 5), (7, 5)}
+
+
+def test_a_long_list_is_matched_in_blocks(spark):
+    rows, reference = frames(spark)
+    one = {tuple(r) for r in canon.candidates(rows, reference, "reference_type").collect()}
+    entries = canon.entry_table(reference, canon.alias_table(spark, {}))
+    assert len(list(canon.entry_blocks(entries, 200))) > 1 and sum(map(len, canon.entry_blocks(entries, 200))) == 5
+    assert {tuple(r) for r in canon.candidates(rows, reference, "reference_type", size=200).collect()} == one
+    whole = lambda size: {tuple(r) for r in canon.typed_references(rows, reference, "ref_id", "reference_type", size=size).collect()}
+    assert whole(200) == whole(canon.BLOCK_BYTES)
+
+
+@pytest.mark.parametrize(("value", "want"), [("sezione", 1), ("hoofdstuk", 1), ("klauzula", 1), ("wetgeving", 9), ("x section", 1), ("section refere", 1), ("unlisted wording", 0)])
+def test_other_wordings(value, want):
+    assert canon.Matcher(ENTRIES)(value) == want
