@@ -113,18 +113,73 @@ def keyed(records: DataFrame) -> DataFrame:
     return records.select("term_id", "filename", "term", "definition", "source_text").mapInPandas(run, schema)
 
 
-def _chosen(pairs: DataFrame) -> DataFrame:
-    """(filename, tk, dk, gt, gd): of the anchors that a loose key met and agrees with, the nearest by term and then the
-    fullest. A key without definition gets one only if its nearest term has one meaning."""
-    agrees = F.pandas_udf(lambda a, b: pd.Series([not x or same_meaning(x, y) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
-    per_gap = (
-        pairs.where(agrees("dk", "gd"))
-        .groupBy("filename", "tk", "dk", "gap")
-        .agg(F.count("*").alias("n"), F.min(F.struct(-F.length("gd"), F.col("gt"), F.col("gd"))).alias("p"))
-    )
-    nearest = per_gap.groupBy("filename", "tk", "dk").agg(F.min_by(F.struct("n", "p"), "gap").alias("x"))
-    chosen = nearest.where((F.col("dk") != "") | (F.col("x.n") == 1))
-    return chosen.select("filename", "tk", "dk", F.col("x.p.gt").alias("gt"), F.col("x.p.gd").alias("gd"))
+#: Words up to which a definition is met by its single words: two of them say too little.
+FEW_WORDS = 3
+
+
+def full_keys(definition: str) -> list[str]:
+    """Keys by which shorter forms of a definition find it: its pairs of words at even places, its first words, and its
+    words with digits."""
+    w = definition.split()
+    return [*(f"{p} {w[p]} {w[p + 1]}" for p in range(0, len(w) - 1, 2)), *(f"{p} {x}" for p, x in enumerate(w) if p < FEW_WORDS or has_digit(x))]
+
+
+def has_digit(w: str) -> bool:
+    return any(c.isdigit() for c in w)
+
+
+def short_keys(definition: str) -> list[tuple[int, int, str]]:
+    """(family, needed, key): of each family of keys the ``needed`` rarest, at least, let a definition meet every one
+    that :func:`same_meaning` finds it to be the same as or a cut of.
+
+    Slips are in at most one of four words (or in one), so they spoil so many of the pairs of words, which have no word
+    in common; one pair more must be whole. A blank that slipped moves the words behind it by one place: if these are
+    half of the pairs or more, the families -1 and 1 have them, of which all keys count; if fewer, the whole ones before
+    it are more than those, and a slip besides, can push aside. Numbers never slip, so where there are
+    some, the rarest of them is enough, together with all of them in the families -1 and 1. Where there are three words or less to compare, any word
+    may be the one that is right.
+    """
+    w = definition.split()
+    sure = len(w) - 1  # the last word may be cut
+    out = []
+    if sure > FEW_WORDS:
+        for move in (0, -1, 1):
+            pairs = [f"{p + move} {w[p]} {w[p + 1]}" for p in range(sure - 1) if p + move >= 0 and (p + move) % 2 == 0]
+            numbers = [f"{p + move} {x}" for p, x in enumerate(w[:sure]) if has_digit(x)]
+            out += [(move, len(numbers) if move else 1, k) for k in numbers] or [(move, len(pairs) if move else len(w) // 4 + 3, k) for k in pairs]
+    if sure <= FEW_WORDS + 1:
+        out += [(9, 3 * FEW_WORDS, f"{p + move} {x}") for p, x in enumerate(w[: FEW_WORDS + 1]) for move in (0, -1, 1) if 0 <= p + move < FEW_WORDS]
+    return list(dict.fromkeys(out))
+
+
+def _chosen(loose: DataFrame, met: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(filename, tk, dk, gt, gd): of the anchors whose terms a loose key met (filename, tk, gt, gap, quiet), and with which it
+    agrees, the nearest by term and then the fullest; A key without
+    definition gets one only of the terms it met as ``quiet``, and only if the nearest has one meaning.
+
+    Definitions meet by their rarest keys, so that a term with many definitions makes no pairs of them all; keys without
+    definition meet the terms' number of meanings and fullest one.
+    """
+
+    agrees = F.pandas_udf(lambda a, b: pd.Series([same_meaning(x, y) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
+    full = F.pandas_udf(lambda s: s.map(full_keys), T.ArrayType(T.StringType()))
+    short = F.pandas_udf(lambda s: s.map(short_keys), T.ArrayType(T.StructType([T.StructField("family", T.IntegerType()), T.StructField("need", T.IntegerType()), T.StructField("key", T.StringType())])))
+    order = F.struct((-F.length("gd")).alias("l"), F.col("gt").alias("gt"), F.col("gd").alias("gd"))
+    terms = met.select("filename", "gt").distinct()
+    keyed_anchors = anchors.join(terms, ["filename", "gt"], "left_semi").select("filename", "gt", "gd", F.explode(full("gd")).alias("key"))
+    counts = keyed_anchors.groupBy("filename", "gt", "key").agg(F.count("*").alias("n"))
+    said = loose.where("dk <> ''")
+    asked = said.select("filename", "tk", "dk", F.explode(short("dk")).alias("k")).select("filename", "tk", "dk", "k.*").join(met, ["filename", "tk"])
+    rare = Window.partitionBy("filename", "tk", "dk", "gt", "family").orderBy("n", "key")
+    asked = asked.join(counts, ["filename", "gt", "key"]).withColumn("r", F.row_number().over(rare)).where("r <= need")
+    pairs = asked.join(keyed_anchors, ["filename", "gt", "key"]).select("filename", "tk", "dk", "gap", "gt", "gd").distinct()
+    with_definition = pairs.where(agrees("dk", "gd")).groupBy("filename", "tk", "dk").agg(F.min_by(order, F.struct("gap", order)).alias("p"))
+    meanings = anchors.groupBy("filename", "gt").agg(F.count("*").alias("n"), F.min(order).alias("p"))
+    silent = loose.where("dk = ''").join(met.where("quiet"), ["filename", "tk"]).join(meanings, ["filename", "gt"])
+    per_gap = silent.groupBy("filename", "tk", "dk", "gap").agg(F.sum("n").alias("n"), F.min("p").alias("p"))
+    nearest = per_gap.groupBy("filename", "tk", "dk").agg(F.min_by(F.struct("n", "p"), "gap").alias("x")).where("x.n = 1")
+    both = with_definition.unionByName(nearest.select("filename", "tk", "dk", F.col("x.p").alias("p")))
+    return both.select("filename", "tk", "dk", F.col("p.gt").alias("gt"), F.col("p.gd").alias("gd"))
 
 
 def _links(loose: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -136,8 +191,8 @@ def _links(loose: DataFrame, anchors: DataFrame) -> DataFrame:
     """
     from deedloom.session import cut_lineage
 
-    same = loose.join(anchors.withColumn("tk", F.col("gt")), ["filename", "tk"]).withColumn("gap", F.lit(0))
-    exact = cut_lineage(_chosen(same))
+    same = loose.select("filename", "tk").distinct().select("filename", "tk", F.col("tk").alias("gt"), F.lit(0).alias("gap"), F.lit(True).alias("quiet"))
+    exact = cut_lineage(_chosen(loose, same, anchors))
     left = cut_lineage(loose.join(exact, ["filename", "tk", "dk"], "left_anti"))
     near_terms = F.pandas_udf(lambda s: s.map(deletions), T.ArrayType(T.StringType()))
 
@@ -153,9 +208,22 @@ def _links(loose: DataFrame, anchors: DataFrame) -> DataFrame:
     met = met.where((F.col("gap") <= 1) | ((F.col("gap") <= 2) & (F.length("tk") >= 8)))
     # a term that is sure elsewhere is a term, not a slip of a similar one; only a definition can tell otherwise
     known = anchors.select(F.col("gt").alias("tk")).distinct().withColumn("known", F.lit(True))
-    pairs = left.join(met, ["filename", "tk"]).join(there, ["filename", "gt"]).join(known, "tk", "left")
-    pairs = pairs.where((F.col("dk") != "") | (F.col("gap") == 0) | (F.col("known").isNull() & (F.length("tk") >= 8)))  # short terms slip only by their definition
-    return exact.unionByName(_chosen(pairs))
+    quiet = (F.col("gap") == 0) | (F.col("known").isNull() & (F.length("tk") >= 8))  # short terms slip only by their definition
+    met = cut_lineage(met.join(known, "tk", "left").withColumn("quiet", quiet).drop("known"))
+    return exact.unionByName(_chosen(left, met, there))
+
+
+def closed(links: DataFrame) -> DataFrame:
+    """Links followed to their ends, doubling the step until nothing moves. A link leads to a fuller definition of the
+    same term, so there are no circles."""
+    from deedloom.session import cut_lineage
+
+    at = links.select("filename", F.col("tk").alias("gt"), F.col("dk").alias("gd"), F.col("gt").alias("ngt"), F.col("gd").alias("ngd"))
+    moves = at.where((F.col("gt") != F.col("ngt")) | (F.col("gd") != F.col("ngd")))
+    step = links.join(moves, ["filename", "gt", "gd"], "left")
+    step = step.select("filename", "tk", "dk", F.coalesce("ngt", "gt").alias("gt"), F.coalesce("ngd", "gd").alias("gd"), F.col("ngt").isNotNull().alias("moved"))
+    step = cut_lineage(step)
+    return step.drop("moved") if step.where("moved").isEmpty() else closed(step.drop("moved"))
 
 
 def grouped(records: DataFrame) -> DataFrame:
@@ -169,7 +237,7 @@ def grouped(records: DataFrame) -> DataFrame:
     rest = cut_lineage(loose.join(first, ["filename", "tk", "dk"], "left_anti"))
     # what has no source sentence anywhere in its group: the fullest of these keys stand for the others
     own = rest.where("dk <> ''").select("filename", F.col("tk").alias("gt"), F.col("dk").alias("gd"))
-    links = first.unionByName(cut_lineage(_links(rest, own)))
+    links = first.unionByName(closed(cut_lineage(_links(rest, own))))
     return (
         k.join(links.withColumn("sure", F.lit(False)), ["filename", "tk", "dk", "sure"], "left")
         .select("term_id", "filename", F.coalesce("gt", "tk").alias("gt"), F.coalesce("gd", "dk").alias("gd"))

@@ -78,3 +78,70 @@ def test_short_terms_slip_by_their_definition(spark):
     assert {frozenset(r.ids) for r in g.collect()} == {frozenset({1, 2, 5}), frozenset({3}), frozenset({4})}
     models = spark.createDataFrame([("good", 2)], "model string, trust_rank int")
     assert [tuple(r) for r in survivor.surviving(spark.createDataFrame(rows, TERMS), models).collect()] == [(1, "f", "Fee", D, 7)]
+
+
+def slipped(rnd, text):
+    """A definition cut, with slips in some of its words, or with a blank lost or typed."""
+    w = text.split()
+    kind = rnd.randrange(4)
+    if kind == 0:
+        return " ".join(w)[: rnd.randint(min(8, len(text)), len(text))].strip()
+    if kind == 1:
+        k = rnd.randrange(1, max(2, len(w)))
+        if k >= len(w):
+            return text
+        return " ".join([*w[: k - 1], w[k - 1] + w[k], *w[k + 1 :]])
+    if kind == 2:
+        k = rnd.randrange(len(w))
+        return " ".join([*w[:k], w[k][:2] + " " + w[k][2:], *w[k + 1 :]]) if len(w[k]) > 3 else text
+    for k in rnd.sample(range(len(w)), rnd.randint(1, max(1, len(w) // 4))):
+        if w[k].isalpha() and len(w[k]) > 3:
+            w[k] = w[k][0] + w[k][2] + w[k][1] + w[k][3:]
+    return " ".join(w)
+
+
+def test_rarest_keys_lose_nothing():
+    import random
+    from collections import Counter
+
+    rnd = random.Random(5)
+    words = ["any", "order", "that", "either", "party", "keeps", "records", "signed", "goods", "carry", "valid", "backup", "copy", "months", "after", "signature", "7", "12"]
+    full = list({" ".join(rnd.choice(words) for _ in range(rnd.randint(2, 16))) for _ in range(400)})
+    counts = Counter(k for d in full for k in survivor.full_keys(d))
+    n = 0
+    for d in full:
+        short = survivor.fold_definition(slipped(rnd, d))
+        want = {x for x in full if short and survivor.same_meaning(short, x)}
+        by_family = {}
+        for family, need, key in survivor.short_keys(short) if short else []:
+            by_family.setdefault(family, [need, []])[1].append(key)
+        asked = {k for need, keys in by_family.values() for k in sorted((k for k in keys if counts[k]), key=lambda k: (counts[k], k))[:need]}
+        assert want <= {x for x in full if asked & set(survivor.full_keys(x))}, (short, want)
+        n += len(want)
+    assert n > 200
+
+
+def test_links_are_followed_to_their_end(spark):
+    rows = [("f", "t", "a", "t", "b"), ("f", "t", "b", "t", "c"), ("f", "t", "c", "t", "d"), ("f", "t", "d", "t", "d"), ("f", "u", "", "t", "a")]
+    got = survivor.closed(spark.createDataFrame(rows, "filename string, tk string, dk string, gt string, gd string"))
+    assert {(r.tk, r.dk, r.gd) for r in got.collect()} == {("t", x, "d") for x in "abcd"} | {("u", "", "d")}
+
+
+def test_one_term_with_many_meanings(spark):
+    """40,000 records of one term: half of them have a source, each other one is a cut of one meaning."""
+    import time
+
+    n = 20_000
+    text = F.concat(F.lit("any order that is placed under number "), F.col("id").cast("string"), F.lit(" of the seller and paid within ninety days"))
+    rows = spark.range(n).select("id", text.alias("d"))
+    null = lambda t: F.lit(None).cast(t)
+    record = lambda ident, definition, source: rows.select(
+        ident.alias("term_id"), F.lit("f").alias("filename"), F.lit("Order").alias("term"), definition.alias("definition"), source.alias("source_text"),
+        F.lit(1).alias("source_chunk_id"), null("string").alias("model"), null("timestamp").alias("extracted_at"), null("timestamp").alias("loaded_at"),
+    )
+    sure = record(F.col("id"), F.col("d"), F.concat(F.lit('"Order" means '), "d", F.lit(".")))
+    cut = record(F.col("id") + n, F.expr("left(d, length(d) - 12)"), null("string"))
+    models = spark.createDataFrame([("good", 2)], "model string, trust_rank int")
+    began = time.perf_counter()
+    got = survivor.survivors(sure.unionByName(cut), models).agg(F.count("*").alias("n"), F.count_if("group_id = definition_from").alias("m")).first()
+    assert (got.n, got.m) == (n, n) and time.perf_counter() - began < 120
