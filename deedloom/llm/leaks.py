@@ -20,6 +20,8 @@ from deedloom.llm.chars import plain
 STRETCH, SHARE = 5, 0.5
 #: Words of a passage and how far the next one starts; rank of the latent space and the vectors drawn beyond it.
 PASSAGE, STEP, RANK, BEYOND = 64, 32, 96, 16
+#: Passages of a text that are compared with the items at once, which bounds the memory that a long text takes.
+TOGETHER = 512
 #: Cosine in the latent space from which an item is a candidate for a passage.
 CANDIDATE = 0.2
 #: A paraphrase has so much of the item as a common subsequence, and so much of the question's words.
@@ -114,18 +116,31 @@ class Space:
     items: np.ndarray
 
     def candidates(self, doc: np.ndarray) -> set[int]:
-        """Items whose cosine with the text or one of its passages reaches the threshold."""
+        """Items whose cosine with the text or one of its passages reaches the threshold. Passages are taken in blocks, so
+        a text of any length takes the memory of one block."""
         if not (doc >= 0).any():
             return set()
-        vectors = np.zeros((len(doc) + 1, self.words.shape[1]))
-        vectors[1:][doc >= 0] = self.words[doc[doc >= 0]]
-        sums = np.cumsum(vectors, axis=0)
+        near = np.zeros(len(self.items), dtype=bool)
+        whole = np.zeros((1, self.words.shape[1]))
         starts = np.arange(0, max(1, len(doc) - STEP), STEP)
-        ends = np.minimum(starts + PASSAGE, len(doc))
-        passages = np.vstack([sums[-1:], sums[ends] - sums[starts]])
+        for k in range(0, len(starts), TOGETHER):
+            s = starts[k : k + TOGETHER]
+            part = doc[s[0] : s[-1] + PASSAGE]
+            vectors = np.zeros((len(part) + 1, self.words.shape[1]))
+            vectors[1:][part >= 0] = self.words[part[part >= 0]]
+            sums = np.cumsum(vectors, axis=0)
+            s = s - s[0]
+            near |= self.nearest(sums[np.minimum(s + PASSAGE, len(part))] - sums[s])
+            last = len(part) if k + TOGETHER >= len(starts) else TOGETHER * STEP
+            whole += sums[last]
+        near |= self.nearest(whole)
+        return set(np.flatnonzero(near).tolist())
+
+    def nearest(self, passages: np.ndarray) -> np.ndarray:
+        """Which items reach the threshold with any of the passages."""
         norms = np.linalg.norm(passages, axis=1, keepdims=True)
         cosine = (passages / np.maximum(norms, 1e-12)) @ self.items.T
-        return set(np.flatnonzero((cosine >= CANDIDATE).any(axis=0)).tolist())
+        return (cosine >= CANDIDATE).any(axis=0)
 
 
 def held_out(items: DataFrame) -> Items:

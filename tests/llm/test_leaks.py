@@ -92,3 +92,21 @@ def test_questions_are_asked_in_all_words_and_missing_ones_of_none(spark):
     loose = " ".join(x for i, x in enumerate(w) for x in ([x] if i % 4 else [x, "indeed"]))
     got = leaks.leaks(*frames(spark, [(i, FILLER) for i in range(5)] + [(9, loose)]), "doc_id", "text", paraphrases=True).where("lcs is not null").collect()
     assert [(r.doc_id, r.item_id, r.answer) for r in got] == [(9, 2, None)]
+
+
+def test_long_texts_take_the_memory_of_a_block():
+    import tracemalloc
+
+    rnd = np.random.default_rng(2)
+    items = rnd.standard_normal((50, 96))
+    space = leaks.Space(rnd.standard_normal((500, 96)), items / np.linalg.norm(items, axis=1, keepdims=True))
+    short = rnd.integers(-1, 500, 40_000).astype(np.int32)
+    vectors = np.vstack([np.zeros((1, 96)), np.where(short[:, None] >= 0, space.words[short], 0)])
+    sums = np.cumsum(vectors, axis=0)
+    starts = np.arange(0, len(short) - leaks.STEP, leaks.STEP)
+    whole = np.vstack([sums[-1:], sums[np.minimum(starts + leaks.PASSAGE, len(short))] - sums[starts]])
+    assert space.candidates(short) == set(np.flatnonzero(space.nearest(whole)).tolist())
+    tracemalloc.start()
+    space.candidates(rnd.integers(-1, 500, 1_000_000).astype(np.int32))
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
